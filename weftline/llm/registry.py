@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import html_main, packing
 
-MODULES = (packing,)
+MODULES = (html_main, packing)
 
 
 def queries() -> dict:
