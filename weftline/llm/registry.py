@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_main, line_rules, packing
+from . import fm_quality, html_main, line_rules, packing
 
-MODULES = (html_main, line_rules, packing)
+MODULES = (fm_quality, html_main, line_rules, packing)
 
 
 def queries() -> dict:
