@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_quality, html_main, line_rules, packing
+from . import fm_quality, html_main, line_rules, neardup, packing
 
-MODULES = (fm_quality, html_main, line_rules, packing)
+MODULES = (fm_quality, html_main, line_rules, neardup, packing)
 
 
 def queries() -> dict:
