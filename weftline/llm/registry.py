@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, fm_quality, html_main, line_rules, neardup, packing
+from . import ann, fm_quality, html_main, line_rules, mixing, neardup, packing
 
-MODULES = (ann, fm_quality, html_main, line_rules, neardup, packing)
+MODULES = (ann, fm_quality, html_main, line_rules, mixing, neardup, packing)
 
 
 def queries() -> dict:
