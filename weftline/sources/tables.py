@@ -49,7 +49,7 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 def list_to_pairs(df: DataFrame, key: str = "source1_entity_id", ids: str = "matched_entity_ids", out: str = "matched_entity_id") -> DataFrame:
     """Comma list -> one row per id; null and empty lists give none."""
-    parts = F.transform(F.split(F.coalesce(F.col(ids), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.col(ids), F.lit("")), ","), lambda x: F.trim(x))
     return df.select(key, F.explode(parts).alias(out)).filter(F.col(out) != "")
 
 
@@ -85,8 +85,8 @@ def parts_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers: trade names, units and plots in made-up names and addresses, some addresses missing."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k", "lower(c_mktsegment) as m", "cast(c_nationkey as string) as n")
-    name = F.expr("case when k % 5 = 0 then 'holder ' || (k % 90) || ' d/b/a ' || m || ' works' when k % 5 = 1 then m || ' works ltd' else m || ' makers' || (k % 60) || ' house' end")
-    address = F.expr("case when k % 4 = 0 then '' else 'plot no h00' || (k % 9 + 1) || ' unit ' || (10 + k % 13) || ' ' || m || ' garden' end")
+    name = F.expr("case when k % 5 = 0 then 'holder ' || (k % 91) || ' d/b/a ' || m || ' works' when k % 5 = 1 then m || ' works ltd' else m || ' makers' || (k % 61) || ' house' end")
+    address = F.expr("case when k % 4 = 0 then '' else 'plot no h00' || (k % 10) || ' unit ' || (10 + k % 13) || ' ' || m || ' garden' end")
     return c.select(_entity_id(F.col("k")).alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("n").alias("country"))
 
 
@@ -102,9 +102,9 @@ DUCK_ENTITIES = {
     "parts": """select 'S' || (p_partkey % 3 + 1) || '-' || p_partkey as entity_id, lower(p_name || ' ' || p_type) as business_name,
       (p_partkey % 40) || ' ' || lower(p_type) || ' street ' || (10000 + p_size * 97) as business_address, p_brand as country from part""",
     "customers": """select 'S' || (k % 3 + 1) || '-' || k as entity_id,
-      case when k % 5 = 0 then 'holder ' || (k % 90) || ' d/b/a ' || m || ' works' when k % 5 = 1 then m || ' works ltd'
-           else m || ' makers' || (k % 60) || ' house' end as business_name,
-      case when k % 4 = 0 then '' else 'plot no h00' || (k % 9 + 1) || ' unit ' || (10 + k % 13) || ' ' || m || ' garden' end as business_address,
+      case when k % 5 = 0 then 'holder ' || (k % 91) || ' d/b/a ' || m || ' works' when k % 5 = 1 then m || ' works ltd'
+           else m || ' makers' || (k % 61) || ' house' end as business_name,
+      case when k % 4 = 0 then '' else 'plot no h00' || (k % 10) || ' unit ' || (10 + k % 13) || ' ' || m || ' garden' end as business_address,
       n as country from (select c_custkey as k, lower(c_mktsegment) as m, c_nationkey::varchar as n from customer)""",
 }
 
