@@ -42,19 +42,28 @@ def acronym(a: Column, b: Column) -> Column:
     return F.coalesce(initials(a) == b, F.lit(False)) | F.coalesce(initials(b) == a, F.lit(False))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over arbitrary integers."""
-    if not a or not b:
-        return 0
+def letter_masks(a: str) -> dict[str, int]:
+    """Where each character stands in the text, as bits."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _common(at: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     v = full
     for c in b:
-        u = v & at.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        m = at.get(c)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel over arbitrary integers."""
+    return _common(letter_masks(a), len(a), b) if a and b else 0
 
 
 def ratio_of(a: str, b: str) -> float:
@@ -63,20 +72,28 @@ def ratio_of(a: str, b: str) -> float:
 
 
 def partial_of(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, windows at the edges being shorter."""
+    """Best ratio of the shorter text with a window of the longer one, windows at the edges being shorter.
+
+    A window's common letters (counted, whatever their order) bound its score, so most windows are passed over."""
     if not a or not b:
         return 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
     if short in long:
         return 1.0
-    best = 0.0
-    letters = set(short)
+    at = letter_masks(short)
+    room = {c: mask.bit_count() for c, mask in at.items()}
+    best, have, shared = 0.0, dict.fromkeys(room, 0), 0
     for i in range(1 - m, n):
         lo, hi = max(i, 0), min(i + m, n)
-        if long[lo] not in letters and long[hi - 1] not in letters:
-            continue
-        best = max(best, ratio_of(short, long[lo:hi]))
+        if i + m <= n and (c := long[i + m - 1]) in room:  # enters
+            have[c] += 1
+            shared += have[c] <= room[c]
+        if i > 0 and (c := long[i - 1]) in room:  # leaves
+            shared -= have[c] <= room[c]
+            have[c] -= 1
+        if 2 * shared > best * (m + hi - lo):
+            best = max(best, 2 * _common(at, m, long[lo:hi]) / (m + hi - lo))
     return best
 
 
