@@ -19,17 +19,25 @@ def _both(a: Column, b: Column, n: int) -> Column:
     return (F.char_length(a) >= n) & (F.char_length(b) >= n)
 
 
+def _digits(tokens: str) -> Column:
+    return F.filter(tokens, lambda w: w.rlike("[0-9]"))
+
+
 def native(pairs: DataFrame) -> DataFrame:
     """The 33 features of built-in expressions. ``pairs``: matched_entity_id and name1, addr1, .. country2."""
     p = pairs.withColumns({f"{c}{k}": F.coalesce(F.col(f"{c}{k}"), F.lit("")) for c in SIDES for k in (1, 2)})
     n1, n2, a1, a2, h1, h2, z1, z2, c1, c2 = (F.col(f"{c}{k}") for c in SIDES for k in (1, 2))
     w1, w2, t1, t2 = F.col("_w1"), F.col("_w2"), F.col("_t1"), F.col("_t2")
-    p = p.withColumns({"_w1": F.filter(F.split(n1, " ", -1), lambda w: w != ""), "_w2": F.filter(F.split(n2, " ", -1), lambda w: w != ""), "_t1": sim.tokens(a1), "_t2": sim.tokens(a2)})
-    digits = lambda t: F.filter(t, lambda w: w.rlike("[0-9]"))
+    # token and gram lists are columns of their own: each is used several times and so computed once per pair
+    lists = {"_w1": F.filter(F.split(n1, " ", -1), lambda w: w != ""), "_w2": F.filter(F.split(n2, " ", -1), lambda w: w != ""), "_t1": sim.tokens(a1), "_t2": sim.tokens(a2)}
+    lists |= {f"_{s}{n}{k}": sim.grams(F.col(f"{c}{k}"), n) for s, c in (("n", "name"), ("a", "addr")) for n in (3, 4) for k in (1, 2)}
+    p = p.withColumns(lists)
+    p = p.withColumns({"_d1": F.array_distinct("_w1"), "_d2": F.array_distinct("_w2"), "_m1": _digits("_t1"), "_m2": _digits("_t2")})
     length = lambda x, y: F.abs(F.char_length(x) - F.char_length(y))
     first, last = (lambda w: F.get(w, F.lit(0))), (lambda w: F.try_element_at(w, F.lit(-1)))
     mid = F.coalesce(F.col("matched_entity_id"), F.lit(""))
-    d1, d2 = F.array_distinct(w1), F.array_distinct(w2)
+    d1, d2 = F.col("_d1"), F.col("_d2")
+    grams = lambda s: sim.jaccard(F.col(f"_{s}1"), F.col(f"_{s}2"))
     return p.withColumns(
         {
             "name_exact": _i((n1 == n2) & (n1 != "")),
@@ -42,8 +50,8 @@ def native(pairs: DataFrame) -> DataFrame:
             "name_shared_token_count": F.size(F.array_intersect(w1, w2)),
             "name_token_jaccard": sim.jaccard(d1, d2),
             "name_token_dice": sim.dice(d1, d2),
-            "name_char3_jaccard": sim.jaccard(sim.grams(n1, 3), sim.grams(n2, 3)),
-            "name_char4_jaccard": sim.jaccard(sim.grams(n1, 4), sim.grams(n2, 4)),
+            "name_char3_jaccard": grams("n3"),
+            "name_char4_jaccard": grams("n4"),
             "name_acronym_match": _i(sim.acronym(n1, n2)),
             "name_len_diff": length(n1, n2),
             "name_len_rel_diff": length(n1, n2) / F.greatest(F.char_length(n1), F.lit(1)),
@@ -52,13 +60,13 @@ def native(pairs: DataFrame) -> DataFrame:
             "address_prefix5": _i((F.substring(a1, 1, 5) == F.substring(a2, 1, 5)) & _both(a1, a2, 5)),
             "address_prefix8": _i((F.substring(a1, 1, 8) == F.substring(a2, 1, 8)) & _both(a1, a2, 8)),
             "address_suffix8": _i((F.right(a1, F.lit(8)) == F.right(a2, F.lit(8))) & _both(a1, a2, 8)),
-            "address_char3_jaccard": sim.jaccard(sim.grams(a1, 3), sim.grams(a2, 3)),
-            "address_char4_jaccard": sim.jaccard(sim.grams(a1, 4), sim.grams(a2, 4)),
+            "address_char3_jaccard": grams("a3"),
+            "address_char4_jaccard": grams("a4"),
             "house_match": _i((h1 != "") & (h1 == h2)),
             "postal_exact": _i((z1 != "") & (z1 == z2)),
             "postal_prefix3": _i((F.substring(z1, 1, 3) == F.substring(z2, 1, 3)) & _both(z1, z2, 3)),
             "address_token_jaccard": sim.jaccard(t1, t2),
-            "address_numeric_overlap": sim.jaccard(digits(t1), digits(t2)),
+            "address_numeric_overlap": sim.jaccard(F.col("_m1"), F.col("_m2")),
             "address_len_diff": length(a1, a2),
             "address_len_rel_diff": length(a1, a2) / F.greatest(F.char_length(a1), F.lit(1)),
             "country_match": _i((c1 != "") & (c1 == c2)),
@@ -66,7 +74,7 @@ def native(pairs: DataFrame) -> DataFrame:
             "source2": _i(mid.startswith("S2-")),
             "source3": _i(mid.startswith("S3-")),
         }
-    ).drop("_w1", "_w2", "_t1", "_t2")
+    ).drop(*lists, "_d1", "_d2", "_m1", "_m2")
 
 
 def aligned(features: DataFrame) -> DataFrame:

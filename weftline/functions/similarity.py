@@ -22,14 +22,13 @@ def grams(text: Column, n: int) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two distinct lists: both empty 1, one empty 0."""
+    """Of two distinct lists: both empty 1, one empty 0. The intersection is one common subexpression."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(1.0))
 
 
 def dice(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+    return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(1.0))
 
 
 def acronym(a: Column, b: Column) -> Column:

@@ -61,11 +61,13 @@ def read_threshold(spark: SparkSession, path: str) -> float:
 def documents_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: first six words as name, last eight as address, language as country."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    words = F.split(F.trim("text"), r"\s+", -1)
+    # both ends are cut off with a split limit, so long texts are not split whole
+    head = F.slice(F.split(F.trim("text"), r"\s+", 7), 1, 6)
+    tail = F.slice(F.split(F.reverse(F.trim("text")), r"\s+", 9), 1, 8)
     return docs.select(
         _entity_id(F.col("doc_id")).alias("entity_id"),
-        F.array_join(F.slice(words, 1, 6), " ").alias("business_name"),
-        F.array_join(F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), 8), " ").alias("business_address"),
+        F.array_join(head, " ").alias("business_name"),
+        F.reverse(F.array_join(tail, " ")).alias("business_address"),
         F.col("lang").alias("country"),
     )
 
