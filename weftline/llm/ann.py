@@ -189,9 +189,22 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
                     yield pa.RecordBatch.from_arrays([pa.array(cls[lo:hi]), *lists], names=["cls", "ids", "scores"])
 
     partial = both.mapInArrow(search, "cls long, ids array<long>, scores array<double>")
-    merged = partial.select("cls", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("cls", F.col("x.ids").alias("near"), F.col("x.scores").alias("score")).dropDuplicates(["cls", "near"])
-    first = Window.partitionBy("cls").orderBy(F.desc("score"), "near")
-    merged = merged.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
+
+    def merge(batches):
+        held = None  # the last query's lists may go on in the next batch
+        for batch in batches:
+            n = np.diff(batch.column(1).offsets.to_numpy())
+            now = np.repeat(batch.column(0).to_numpy(), n), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            q, i, x = now if held is None else (np.append(h, m) for h, m in zip(held, now, strict=True))
+            q, i, x = _leading(q, i, x, k + 1)
+            open_ = q == q[-1] if len(q) else np.zeros(0, bool)
+            held = q[open_], i[open_], x[open_]
+            done = ~open_
+            yield pa.RecordBatch.from_arrays([pa.array(q[done]), pa.array(i[done]), pa.array(x[done])], names=["cls", "near", "score"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, held)], names=["cls", "near", "score"])
+
+    merged = partial.repartition("cls").sortWithinPartitions("cls").mapInArrow(merge, "cls long, near long, score double")
     # classes back to rows: each near class stands for its k + 1 smallest ids
     small = member.select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("r") <= k + 1)
     near = merged.select(F.col("cls").alias("q"), F.col("near").alias("cls"), "score").join(small.select("cls", F.col("id").alias("vec_id")), "cls")
@@ -230,7 +243,11 @@ def _best(ready: dict, block: np.ndarray, owner: np.ndarray, v: np.ndarray, k: i
         rows.append(who[r])
         ids.append(found[0][c])
         scores.append(score[r, c])
-    q, i, x = np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
+    return _leading(np.concatenate(rows), np.concatenate(ids), np.concatenate(scores), k)
+
+
+def _leading(q: np.ndarray, i: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score) entries: the k best distinct ids of each query, in order."""
     order = np.lexsort((i, q))
     q, i, x = q[order], i[order], x[order]
     new = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])) if len(q) else np.zeros(0, bool)
