@@ -4,16 +4,16 @@
    summed over all documents. A cell's background (its share of all shingles plus three deviations) is taken off, so
    that a shingle's document frequency rises over 1 only where it stands out. The table's size is a parameter, not
    the corpus', and it is the only thing sent to all tasks.
-2. Weights: tf * (1 + idf / max idf) / 2. Damped idf keeps boilerplate from linking documents and still lets one
-   large group of near copies, whose shared shingles are frequent by their own number, pass the threshold.
+2. Weights: tf * idf, idf clipped at ln ``COMMON`` and scaled to 0.5 .. 1. Boilerplate of most documents weighs half;
+   a large group of near copies, whose shared shingles are frequent by the group's own number, is not held apart.
 3. Signatures: improved consistent weighted sampling, ``BANDS`` * ``ROWS`` samples (k*, t*) per document, drawn as
    argmin of ln c - r (t - beta + 1) with r, c ~ Gamma(2, 1) and beta uniform by hash of (shingle, sample).
 4. Exact copies (equal text digest) become one class with one representative; only representatives go on.
-5. Candidates: in each band bucket all members are compared with the bucket's first member. Buckets that then still
-   hold several classes compare each member outside their largest class with all others, in doubling rounds, so no
-   pair of different classes in a bucket stays uncompared. Pairs whose signatures agree in under half of the samples
-   are dropped (five deviations below 0.8).
-6. Verification: exact weighted Jaccard of the whole texts, streamed per hub with hubs split by a salt.
+5. Candidates: in each band bucket all members are compared with one member (by a hash), so pairs grow with the rows.
+   Buckets that then still hold several classes are finished: each member outside the bucket's largest class meets
+   every other member, in blocks of bounded size inside tasks; only links that join classes leave a task. So no two
+   classes in a bucket stay uncompared, and nothing but texts in blocks is shuffled for it.
+6. Verification is the exact weighted Jaccard of the whole texts; hubs with many members are split by a salt.
 7. Classes are connected components of the verified links; the smallest doc_id names the class.
 
 Defined results: texts without words (null, empty, blank) are a class of their own each, as are rows with a null
@@ -35,7 +35,11 @@ THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
 CELLS = 1 << 18
+#: idf is clipped at the logarithm of this: only shingles of more than one in COMMON documents weigh less.
+COMMON = 4
 SALT_ROWS = 256
+QUERY_BLOCK = 256
+MEMBER_BLOCK = 1024
 U = np.uint64
 
 
@@ -79,8 +83,7 @@ def corpus_weights(docs: DataFrame) -> np.ndarray:
 def idf_weights(table: np.ndarray, docs: int) -> np.ndarray:
     mean = table.mean()
     df = np.clip(table - mean - 3 * np.sqrt(mean), 1, max(docs, 1))
-    top = np.log((1 + max(docs, 1)) / 2) or 1.0
-    return (0.5 + 0.5 * np.clip(np.log((1 + docs) / (1 + df)) / top, 0, 1)).astype(np.float32)
+    return np.clip(np.log(max(docs, 1) / df) / np.log(COMMON), 0.5, 1).astype(np.float32)
 
 
 def _gamma2(levels: int) -> np.ndarray:
@@ -123,7 +126,7 @@ def icws(key: np.ndarray, weight: np.ndarray, first: np.ndarray, samples: int) -
 
 
 def signatures(docs: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, md5, sig, bands) for every document; no bands for texts without words."""
+    """(id, md5, bands) for every document; no bands for texts without words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -139,12 +142,11 @@ def signatures(docs: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: i
                 step = _text._STEP[:rows]
                 band = _text.mix((drawn.reshape(-1, bands, rows) * step).sum(2, dtype=U) + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15))
                 cut = lambda k: pa.array(np.append(0, np.cumsum(n * k)), pa.int32())
-                sig = pa.ListArray.from_arrays(cut(bands * rows), pa.array((drawn & U(255)).astype(np.uint8).view(np.int8).ravel()))
                 keys = pa.ListArray.from_arrays(cut(bands), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sig, keys], names=["id", "md5", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys], names=["id", "md5", "bands"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"), F.col("text").alias("_text"))
-    return thin.filter("id is not null").mapInArrow(run, "id long, md5 binary, sig array<tinyint>, bands array<long>")
+    return thin.filter("id is not null").mapInArrow(run, "id long, md5 binary, bands array<long>")
 
 
 def weighted_jaccard(ak, aw, bk, bw) -> float:
@@ -157,13 +159,12 @@ def weighted_jaccard(ak, aw, bk, bw) -> float:
     return both / (float(aw.sum()) + float(bw.sum()) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """Pairs (id, hub) whose texts reach the threshold, with ``similarity``. Texts meet per (hub, salt), streamed."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
     split = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s"))
     salted = pairs.join(split, "hub").select("hub", "id", F.expr("pmod(xxhash64(id), _s)").alias("salt"))
     needs = salted.withColumn("role", F.lit(1)).unionByName(salted.select("hub", F.col("hub").alias("id"), "salt", F.lit(0).alias("role")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("_text"))
     rows = needs.join(texts, "id").select("hub", "salt", "role", "id", "_text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
@@ -189,54 +190,119 @@ def verified(pairs: DataFrame, docs: DataFrame, weights: np.ndarray, threshold:
     return rows.mapInArrow(run, "id long, hub long, similarity double")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    a = sigs.select("id", F.col("sig").alias("_a"))
-    b = sigs.select(F.col("id").alias("hub"), F.col("sig").alias("_b"))
-    same = F.expr("aggregate(zip_with(_a, _b, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)")
-    return pairs.join(a, "id").join(b, "hub").filter(same >= least).select("id", "hub")
+class Block:
+    """Shingles of a block of texts, to be met by other texts: exact weighted Jaccard with all of them at once."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        owner = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+        key, weight = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+        order = np.argsort(key, kind="stable")
+        self.n, self.key, self.owner, self.weight = len(parts), key[order], owner[order], weight[order]
+        self.total = np.bincount(owner, weight, self.n)
+
+    def jaccard(self, key: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts: int, most: int = 2_000_000) -> np.ndarray:
+        """(texts, n) similarities; shared shingles are expanded ``most`` at a time."""
+        low = np.searchsorted(self.key, key, "left")
+        count = np.searchsorted(self.key, key, "right") - low
+        hit = np.flatnonzero(count)
+        ends = np.cumsum(count[hit])
+        both, a = np.zeros(texts * self.n), 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            h, c = hit[a:b], count[hit[a:b]]
+            mine = np.repeat(h, c)
+            other = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[h], c)
+            both += np.bincount(owner[mine] * self.n + self.owner[other], np.minimum(weight[mine], self.weight[other]), texts * self.n)
+            a = b
+        both = both.reshape(texts, self.n)
+        whole = np.bincount(owner, weight, texts)[:, None] + self.total[None, :] - both
+        return both / np.maximum(whole, 1e-300)
+
+
+def bridged(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Links between different classes inside buckets that hold several: every member outside a bucket's largest class
+    is compared with every other member, in blocks, and a link is returned wherever it joins two classes not joined
+    before in the same block. ``rest``: key, id, comp, main, n (members), nd (those outside the main class)."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    qbs, mbs = F.ceil(F.col("nd") / QUERY_BLOCK).cast("int"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = rest.filter("comp <> main").select("key", "id", "comp", mine(qbs).alias("qb"), each(mbs).alias("mb"), F.lit(0).alias("role"))
+    met = rest.select("key", "id", "comp", each(qbs).alias("qb"), mine(mbs).alias("mb"), F.lit(1).alias("role"))
+    rows = asked.unionByName(met).join(texts, "id").select("key", "qb", "mb", "role", "id", "comp", "_text")
+    rows = rows.repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb", "role")
+
+    def run(batches):
+        table, at, block, parts, who, joined = shared.value, None, None, [], [], {}
+
+        def root(c):
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        for batch in batches:
+            for part in _base.slices(batch, "_text", 1 << 17):
+                key, owner, tf = doc_shingles(part.column(6))
+                w = tf.astype(np.float64) * table[cell_of(key)]
+                seg = _text.segments(owner, part.num_rows)
+                place = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+                role, ids, comp = (np.asarray(part.column(i)) for i in (3, 4, 5))
+                cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1] or role[i] != role[i - 1]), len(place)]
+                out = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if place[a] != at:
+                        at, block, parts, who, joined = place[a], None, [], [], {}
+                    if role[a] == 0:
+                        parts += [(key[seg[i] : seg[i + 1]].copy(), w[seg[i] : seg[i + 1]].copy()) for i in range(a, b)]
+                        who += list(zip(ids[a:b].tolist(), comp[a:b].tolist(), strict=True))
+                        continue
+                    if not parts:
+                        continue
+                    block = block or Block(parts)
+                    span = slice(seg[a], seg[b])
+                    like = block.jaccard(key[span], owner[span] - a, w[span], b - a)
+                    like[comp[a:b, None] == np.array([c for _, c in who])[None, :]] = 0
+                    for i, j in np.argwhere(like >= threshold).tolist():
+                        x, y = root(int(comp[a + i])), root(who[j][1])
+                        if x != y:
+                            joined[max(x, y)] = min(x, y)
+                            out.append((int(ids[a + i]), who[j][0], float(like[i, j]), int(comp[a + i]), who[j][1]))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["id", "hub", "similarity", "a", "b"])
+
+    return rows.mapInArrow(run, "id long, hub long, similarity double, a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id) for every document, and the verified links between representatives of different texts."""
+    """(doc_id, class_id) for every document, and verified links between representatives that span the classes."""
     docs = docs.select("doc_id", "text")
     weights = corpus_weights(docs)
     signed = _base.materialize(signatures(docs, weights, bands, rows), "signatures")
     exact = signed.groupBy("md5").agg(F.min("id").alias("rep"))
-    blank = F.size("bands") == 0
-    signed = _base.materialize(signed.join(exact, "md5").select("id", F.when(blank, F.col("id")).otherwise(F.col("rep")).alias("rep"), "sig", "bands"), "signed")
-    reps = signed.filter((F.col("id") == F.col("rep")) & (F.size("bands") > 0))
-    sigs = reps.select("id", "sig")
+    rep = F.when(F.size("bands") == 0, F.col("id")).otherwise(F.col("rep"))
+    signed = _base.materialize(signed.join(exact, "md5").select("id", rep.alias("rep"), "bands"), "signed")
 
-    band = reps.select("id", F.explode("bands").alias("key")).distinct()
+    band = signed.filter("id = rep").select("id", F.explode("bands").alias("key"))
     lead = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("id"))).alias("l"), F.count(F.lit(1)).alias("n"))
-    lead = lead.filter("n > 1").select("key", F.col("l.id").alias("hub"))
-    members = _base.materialize(band.join(lead, "key"), "buckets")
-    pairs = members.filter("id <> hub").select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub"), F.col("hub").alias("_lead"))
-    # the pair's hub is the bucket's first member wherever one bucket says so
-    pairs = pairs.groupBy("id", "hub").agg(F.min("_lead").alias("_lead"))
-    pairs = pairs.select(F.when(F.col("_lead") == F.col("id"), F.col("hub")).otherwise(F.col("id")).alias("id"), F.col("_lead").alias("hub"))
-    links = _base.materialize(verified(_agreeing(pairs, sigs, bands * rows // 2), docs, weights, threshold), "links")
-
+    members = _base.materialize(band.join(lead.filter("n > 1").select("key", F.col("l.id").alias("hub"), "n"), "key"), "buckets")
+    pairs = members.filter("id <> hub").groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+    pairs = pairs.select((F.col("a") + F.col("b") - F.col("hub")).alias("id"), "hub")
+    wanted = members.select(F.col("id").alias("_w")).distinct().hint("shuffle_hash")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("_text"))
+    texts = _base.materialize(texts.join(wanted, F.col("id") == F.col("_w")).drop("_w"), "texts")
+    links = _base.materialize(verified(pairs, texts, weights, threshold), "links")
     label = _graph.components(links, "id", "hub")
-    known = members.join(label, members["id"] == label["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    rest = known.join(mixed, "key")
-    main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    rest = rest.join(main, "key").withColumn("rn", F.when(F.col("comp") != F.col("main"), F.row_number().over(Window.partitionBy("key", F.col("comp") != F.col("main")).orderBy(F.xxhash64("id", "key"), "id"))))
-    rest = _base.materialize(rest.select("key", "id", "rn"), "rest")
-    most, low, high = rest.agg(F.max("rn")).first()[0] or 0, 0, 16
-    while low < most:
-        now = rest.join(label, rest["id"] == label["node"], "left").select("key", "id", "rn", F.coalesce("component", "id").alias("comp"))
-        hubs = now.filter((F.col("rn") > low) & (F.col("rn") <= high)).select("key", F.col("id").alias("hub"), F.col("rn").alias("_rn"), F.col("comp").alias("_comp"))
-        more = now.join(hubs, "key").filter("comp <> _comp and (rn is null or rn > _rn)")
-        more = more.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).distinct()
-        found = _base.materialize(verified(_agreeing(more, sigs, bands * rows // 2), docs, weights, threshold), "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            label = _graph.components(links, "id", "hub")
-        low, high = high, high * 2
 
+    known = members.filter("n > 2").join(label, members["id"] == label["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    per = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("nd"))
+    rest = _base.materialize(known.join(per.filter("k > 1").drop("k"), "key"), "rest")
     named = signed.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    more = _base.materialize(bridged(rest, texts, weights, threshold), "links")
+    if more.limit(1).count():
+        again = _graph.components(more, "a", "b")
+        named = named.join(again.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.coalesce("component", "class_id").alias("class_id"))
+        links = links.unionByName(more.drop("a", "b"))
     named = named.groupBy("id").agg(F.min("class_id").alias("class_id"))
     lost = docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"))
     return named.select(F.col("id").alias("doc_id"), "class_id").unionByName(lost), links
