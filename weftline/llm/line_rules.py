@@ -3,7 +3,7 @@
 Lines of each document are normalised (lower case, runs of blanks to one space, trimmed) and hashed. Per host
 (``source``), a line counts once for each distinct document that holds it; documents are told apart by the smallest
 hash of their other lines, so that copies of one document count once. A line over both limits (a number of documents
-and a share of the host's documents) is removed; a document that has lost lines and keeps under ``min_words`` words
+and a share of the host's documents) is removed; a document that has lost lines and keeps under ``min_left`` words
 or under ``min_share`` of its words is depleted. Base rules reject very short and self-repeating documents.
 
 Two scans and one small shuffle: (host, line, context) rows are made distinct before counting, so a hot host or line
@@ -26,8 +26,11 @@ from . import _base
 MIN_DOCS = 20
 #: ... and over this share of the host's documents.
 MAX_SHARE = 0.10
-MIN_WORDS = 20
+#: A document is depleted if lines were removed and fewer words are left than this, or a smaller share of its words.
+MIN_LEFT = 5
 MIN_SHARE = 0.30
+#: Base rules.
+MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SPAN = 8
 
@@ -97,7 +100,7 @@ def judged(
     docs: DataFrame,
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
-    min_words: int = MIN_WORDS,
+    min_left: int = MIN_LEFT,
     min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """``docs`` with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _removed (lines),
@@ -124,7 +127,7 @@ def judged(
     changed = F.col("_clean_text").isNotNull() & (F.col("_clean_text") != F.col("text"))
     left = F.when(changed, F.size(words_of(F.col("_clean_text"))).cast("long")).otherwise(F.col("_n_words"))
     out = out.withColumn("_left_words", left)
-    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < min_words) | (F.col("_left_words") < min_share * F.col("_n_words")))
+    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < min_left) | (F.col("_left_words") < min_share * F.col("_n_words")))
     return out.withColumn("_kept", ~F.col("_base_failed") & ~depleted)
 
 
@@ -182,7 +185,7 @@ b as (
   from w left join dup using (rid) left join rep using (rid) left join removed using (rid)),
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (left_words < n_words and (left_words < 20 or left_words < 0.30 * n_words)) as kept,
+       not base_failed and not (left_words < n_words and (left_words < 5 or left_words < 0.30 * n_words)) as kept,
        left_words
 from j
 """
