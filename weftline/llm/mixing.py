@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership (operator 6), DataFrame expressions only.
 
-A naive Bayes classifier learned from the labelled table gives each document a posterior over domains (``low``
+A multinomial logistic model learned from the labelled table gives each document a posterior over domains (``low``
 quality, ``clean``, ``toxic``). Nonnegative document rates r are then fitted so that the expected domain totals
 s_k = sum_d r_d n_d p_dk meet the targets T_k: projected gradient on the whitened least squares
 || M^(1/2) (s - T) ||^2, M = (sum_d n_d p_d p_d^T)^-1, from r = 1, each step r <- max(0, r - p_d . M (s - T)). The
@@ -11,8 +11,8 @@ sums and a K x K matrix. The rate is turned into whole copies by floor(rate + u)
 Training reads at most ``TRAIN_ROWS`` labelled rows (documented bound, smallest hashes of doc_id); posteriors, totals
 and rates cover all documents.
 
-Defined results: null and empty texts have no tokens and the prior as posterior; labels with a null are ignored; with
-no labels every document is half ``clean`` by the smoothed prior; a target that cannot be met (no mass in a domain)
+Defined results: null and empty texts have no tokens and the posterior of an empty text; labels with a null are ignored; with
+no labels every document is half ``clean``; a target that cannot be met (no mass in a domain)
 leaves the least-squares residual; an empty table gives an empty result. Repeated rows are documents each. Extra
 columns pass through; inner names are prefixed.
 """
@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base
-from .line_rules import words_of
+from .line_rules import let, words_of
 
 DOMAINS = ("low", "clean", "toxic")
 #: Wanted share of tokens per domain; the total is such that the clean share equals what there is.
 SHARES = {"low": 0.02, "clean": 0.97, "toxic": 0.01}
-TRAIN_ROWS = 20_000
-BUCKETS = 1 << 14
+TRAIN_ROWS = 12_000
+BUCKETS = 1 << 16
+#: Summed word weights are divided by this power of the number of distinct words.
+DAMP = 0.25
 ROUNDS = 40
 TOLERANCE = 1e-6
 #: Rates this close to a whole number count as it.
@@ -38,25 +40,83 @@ SNAP = 1e-3
 
 
 def buckets_of(text: Column) -> Column:
-    """Distinct word buckets of a text."""
-    return F.array_distinct(F.transform(words_of(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    """Distinct buckets of a text: lower-case words without punctuation, words' shapes (letters and digits as one sign,
+    runs of capitals as another) and the share of distinct words in tenths."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"), lambda w: w != "")
+    shape = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "9"), r"[\p{L}0-8]+", "a")
+    shapes = F.transform(F.array_distinct(F.split(shape, r"[\x20\x09-\x0D.,;:!?]+")), lambda s: F.concat(F.lit("#"), s))
+
+    def of(w: Column) -> Column:
+        d = F.array_distinct(w)
+        tenth = F.concat(F.lit("##"), F.coalesce(F.floor(F.try_divide(10 * F.size(d), F.size(w))), F.lit(0)).cast("string"))
+        return F.transform(F.concat(d, shapes, F.array(tenth)), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+
+    return F.array_distinct(let(words, of))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict:
-    """Log prior and per-bucket log likelihoods of each domain."""
+    """A multinomial logistic model of the domains over buckets, fitted on the bounded sample."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 0).otherwise(1)
     rows = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     rows = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max(domain).alias("_k")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
     seen = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(rows), "_id")
-    seen = _base.materialize(seen.select("_k", buckets_of(F.col("_text")).alias("_b")), "labelled")
-    prior = np.ones(len(DOMAINS))
-    for k, n in seen.groupBy("_k").count().collect():
-        prior[k] += n
-    count = np.full((len(DOMAINS), BUCKETS), 0.1)
-    sums = [F.sum((F.col("_k") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))]
-    for b, *n in seen.select("_k", F.explode("_b").alias("b")).groupBy("b").agg(*sums).collect():
-        count[:, b] += n
-    return {"prior": np.log(prior / prior.sum()), "word": np.log(count / (prior[:, None] + 0.2))}
+    # copies count once, lest a document repeated a hundred times decide what marks its domain
+    seen = seen.groupBy(F.md5("_text").alias("_m")).agg(F.max("_k").alias("_k"), F.min("_text").alias("_text"))
+    got = seen.select("_m", "_k", F.concat_ws(",", buckets_of(F.col("_text"))).alias("_b")).orderBy("_m").collect()
+    cols = [np.array(r["_b"].split(","), np.int64) for r in got]
+    begin = np.append(0, np.cumsum([len(c) for c in cols])).astype(np.int64)
+    return fit_softmax(begin, np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([r["_k"] for r in got], np.int64))
+
+
+def raw_logits(w: np.ndarray, bias: np.ndarray, begin: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Bias plus the summed weights of a document's buckets over the fourth root of their number."""
+    n = np.diff(begin)
+    return np.add.reduceat(w[cols], begin[:-1], 0) / (n**DAMP)[:, None] + bias
+
+
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _rows(begin: np.ndarray, cols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(begin)[rows]
+    at = np.cumsum(n) - n
+    return np.append(at, n.sum()), cols[np.repeat(begin[rows] - at, n) + np.arange(int(n.sum()))]
+
+
+def fit_softmax(begin: np.ndarray, cols: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> dict:
+    """Multinomial logistic regression by mini-batch Adagrad; a fifth of the rows is kept out to choose the temperature
+    that makes its probabilities honest. Every document has buckets (its shape), so no row is empty."""
+    k, rng = len(DOMAINS), np.random.RandomState(seed)
+    w, g2, bias, gb = np.zeros((BUCKETS, k)), np.full((BUCKETS, k), 1e-3), np.zeros(k), np.full(k, 1e-3)
+    if not len(y):
+        return {"w": w, "b": np.array([-np.log(2) if i != 1 else 0.0 for i in range(k)]), "t": 1.0}
+    shuffled = rng.permutation(len(y))
+    train, out = shuffled[len(y) // 5 :], shuffled[: len(y) // 5]
+    for _ in range(epochs):
+        order = rng.permutation(train)
+        for lo in range(0, len(order), 64):
+            rows = order[lo : lo + 64]
+            at, c = _rows(begin, cols, rows)
+            p = _probabilities(raw_logits(w, bias, at, c))
+            p[np.arange(len(rows)), y[rows]] -= 1
+            p /= len(rows)
+            n = np.diff(at)
+            own = np.repeat(np.arange(len(rows)), n)
+            u, inv = np.unique(c, return_inverse=True)
+            g = np.stack([np.bincount(inv, (p[:, j] / n**DAMP)[own], len(u)) for j in range(k)], 1) + decay * w[u]
+            g2[u] += g * g
+            w[u] -= rate * g / np.sqrt(g2[u])
+            gb += p.sum(0) ** 2
+            bias -= rate * p.sum(0) / np.sqrt(gb)
+    best = 1.0
+    if len(out):
+        z = raw_logits(w, bias, *_rows(begin, cols, out))
+        loss = lambda t: -np.log(np.maximum(_probabilities(t * z)[np.arange(len(out)), y[out]], 1e-12)).mean()
+        best = min((1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
+    return {"w": w, "b": bias, "t": best}
 
 
 def memberships(docs: DataFrame, model: dict) -> DataFrame:
@@ -64,11 +124,12 @@ def memberships(docs: DataFrame, model: dict) -> DataFrame:
     base = 1  # log odds against the clean domain
 
     def table(x: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(f"{v:.5f}" for v in x)), ",").cast("array<double>")
+        return F.split(F.lit(",".join(f"{v:.4g}" for v in x)), ",").cast("array<double>")
 
     def log_odds(k: int) -> Column:
-        odds = table(model["word"][k] - model["word"][base])
-        return F.aggregate("_b", F.lit(float(model["prior"][k] - model["prior"][base])), lambda a, b: a + F.get(odds, b))
+        weight, shift = model["t"] * (model["w"][:, k] - model["w"][:, base]), float(model["t"] * (model["b"][k] - model["b"][base]))
+        total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table(weight), b))
+        return total / F.pow(F.size("_b").cast("double"), F.lit(DAMP)) + shift
 
     logit = {}
     for k in range(len(DOMAINS)):
