@@ -131,4 +131,6 @@ def attached(pairs: DataFrame, entities: DataFrame, house: str = "house", postal
     """Pair rows with both sides' columns. ``entities``: entity_id, name, addr, country and the two anchors."""
     cols = {"name": "name", "addr": "addr", "house": house, "postal": postal, "country": "country"}
     side = lambda k, key: entities.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{n}{k}") for n, c in cols.items()])
-    return pairs.join(side(1, "source1_entity_id"), "source1_entity_id", "left").join(side(2, "matched_entity_id"), "matched_entity_id", "left")
+    out = pairs.join(side(1, "source1_entity_id"), "source1_entity_id", "left").join(side(2, "matched_entity_id"), "matched_entity_id", "left")
+    # feature rows are small but dear: an explicit count keeps adaptive coalescing from putting them into a few tasks
+    return out.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

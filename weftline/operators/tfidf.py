@@ -46,7 +46,8 @@ def similar(entities: DataFrame, column: str = "name", least: float = 0.75, size
     first = F.col("entity_id").startswith("S1-")
     a, b = marked.filter(first), marked.filter(~first)
     meet = a.filter("_prefix").select(F.col("entity_id").alias(FIRST), "country", "g").join(b.filter("_prefix").select(F.col("entity_id").alias(OTHER), "country", "g"), ["country", "g"])
-    found = meet.select(FIRST, OTHER).distinct()
+    # an explicit count: the pairs are small, but each meets all its grams below
+    found = meet.select(FIRST, OTHER).distinct().repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), FIRST)
     full = found.join(a.select(F.col("entity_id").alias(FIRST), "g", F.col("w").alias("wa")), FIRST)
     full = full.join(b.select(F.col("entity_id").alias(OTHER), "g", F.col("w").alias("wb")), [OTHER, "g"])
     return full.groupBy(FIRST, OTHER).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least)
