@@ -126,6 +126,26 @@ def volume(entities: DataFrame, ch: Channel) -> DataFrame:
     return a.join(b, on).agg(F.coalesce(F.sum(F.col("n1") * F.col("n2")), F.lit(0)).alias("candidates"), F.count(F.lit(1)).alias("shared_keys"))
 
 
+def key_frequencies(entities: DataFrame, ch: Channel) -> DataFrame:
+    """How many source-1 and other entities hold each key of a channel."""
+    first = F.col("entity_id").startswith("S1-")
+    on = [f"k{i}" for i in range(len(ch.keys))]
+    a = _keyed(entities.filter(first), ch, True).groupBy(*on).agg(F.countDistinct("id").alias("n1"))
+    b = _keyed(entities.filter(~first), ch, False).groupBy(*on).agg(F.countDistinct("id").alias("n23"))
+    return a.join(b, on, "outer").na.fill(0, ["n1", "n23"])
+
+
+def overlap(entities: DataFrame, chosen: list[Channel]) -> DataFrame:
+    """Per channel: its pairs, those no other of the channels finds, and the union's size, in one aggregate."""
+    out = None
+    for ch in chosen:
+        rows = pairs(entities, ch).select(F.lit(ch.name).alias("channel"), FIRST, OTHER)
+        out = rows if out is None else out.unionByName(rows)
+    found = out.groupBy(FIRST, OTHER).agg(F.collect_list("channel").alias("by"))
+    named = found.select(F.explode("by").alias("channel"), (F.size("by") == 1).cast("int").alias("alone"))
+    return named.groupBy("channel").agg(F.count(F.lit(1)).alias("pairs"), F.sum("alone").alias("only_here"))
+
+
 # -- the same in DuckDB -------------------------------------------------------------------------------------------
 
 

@@ -35,7 +35,7 @@ def similar(entities: DataFrame, column: str = "name", least: float = 0.75, size
     df = tf.groupBy("country", "g").agg(F.count(F.lit(1)).alias("df"))
     if max_df is not None:
         df = df.filter(F.col("df") <= max_df)
-    w = tf.join(df, ["country", "g"]).join(F.broadcast(total), "country")
+    w = tf.join(df, ["country", "g"]).join(total, "country")
     w = w.withColumn("w", F.col("tf") * (1 + F.log((1 + F.col("_n")) / (1 + F.col("df")))))
     norm = w.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
     w = w.join(norm, "entity_id").select("entity_id", "country", "g", "df", (F.col("w") / F.col("_len")).alias("w"))

@@ -230,3 +230,38 @@ def validated_results(spark, sf_dir):
     first, others = tables.sides(e)
     lists = sinks.result_lists(first, resolve.injective_by_candidate(c.claims(e)))
     return evaluate.validation(lists, first.select(F.col("entity_id").alias(FIRST)), others.select(F.col("entity_id").alias(OTHER)))
+
+
+def _frequency_sql(n: str) -> str:
+    d = f"({derive.duck_select(f'({c.DOCS})')})"
+    side = lambda first, name: f"select k0, count(distinct id) as {name} from ({blocking._keyed_sql(c.CH[n], first)}) group by 1".replace("from d where", f"from {d} where")
+    return f"select '{n}' as channel, k0, coalesce(n1, 0) as n1, coalesce(n23, 0) as n23 from ({side(True, 'n1')}) full join ({side(False, 'n23')}) using (k0)"
+
+
+_TOKENS = ("b03_first_token_rare", "b06_second_token_rare", "b08_last_token_rare")
+
+
+@query(" union all ".join(map(_frequency_sql, _TOKENS)))
+def token_frequencies(spark, sf_dir):
+    """How often first, second and last name tokens occur on either side."""
+    e, out = tables.entities(spark, sf_dir), None
+    for n in _TOKENS:
+        rows = blocking.key_frequencies(e, c.CH[n]).select(F.lit(n).alias("channel"), "k0", "n1", "n23")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""with u as ({" union all ".join(f"select '{n}' as channel, {FIRST}, {OTHER} from ({blocking.oracle(c.CH[n], c.DOCS)})" for n in _BLOCKS)}),
+  k as (select *, count(*) over (partition by {FIRST}, {OTHER}) as n from u) select channel, count(*) as pairs, count(*) filter (where n = 1) as only_here from k group by 1""")
+def block_overlap(spark, sf_dir):
+    return blocking.overlap(tables.entities(spark, sf_dir), [c.CH[n] for n in _BLOCKS])
+
+
+_HOUSE = "b13_house_first_token"
+
+
+@query(f"""with d as ({derive.duck_select(f'({c.PARTS})')}), a as (select k0, k1, count(distinct id) as n from ({blocking._keyed_sql(c.CH[_HOUSE], True)}) group by all),
+  b as (select k0, k1, count(distinct id) as n from ({blocking._keyed_sql(c.CH[_HOUSE], False)}) group by all)
+  select coalesce(sum(a.n * b.n), 0)::bigint as candidates, count(*) as shared_keys from a join b using (k0, k1)""")
+def house_candidate_volume(spark, sf_dir):
+    return blocking.volume(tables.entities(spark, sf_dir, "parts"), c.CH[_HOUSE])
