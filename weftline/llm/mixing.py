@@ -3,8 +3,8 @@
 A multinomial logistic model learned from the labelled table gives each document a posterior over domains (``low``
 quality, ``clean``, ``toxic``). Nonnegative document rates r are then fitted so that the expected domain totals
 s_k = sum_d r_d n_d p_dk meet the targets T_k: projected gradient on the whitened least squares
-|| M^(1/2) (s - T) ||^2, M = (sum_d n_d p_d p_d^T)^-1, from r = 1, each step r <- max(0, r - p_d . M (s - T)). The
-whitening makes 1 the right step length. A document's rate is a function of its posterior and of the steps so far, so no
+|| M^(1/2) (s - T) ||^2, from r = 1, each step r <- max(0, r - p_d . M (s - T)) with M = (sum n_d p_d p_d^T)^-1 over the
+documents whose rate is not 0. The whitening makes 1 the right step length. A document's rate is a function of its posterior and of the steps so far, so no
 per-document state is kept: each iteration is one aggregate over the narrow posterior table, and the driver holds K
 sums and a K x K matrix. The rate is turned into whole copies by floor(rate + u), u a hash of doc_id and text.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base
-from .line_rules import let, words_of
+from .line_rules import let
 
 DOMAINS = ("low", "clean", "toxic")
 #: Wanted share of tokens per domain; the total is such that the clean share equals what there is.
@@ -34,25 +34,30 @@ BUCKETS = 1 << 16
 #: Summed word weights are divided by this power of the number of distinct words.
 DAMP = 0.25
 ROUNDS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 #: Rates this close to a whole number count as it.
 SNAP = 1e-3
 
 
-def buckets_of(text: Column) -> Column:
-    """Distinct buckets of a text: lower-case words without punctuation, words' shapes (letters and digits as one sign,
-    runs of capitals as another) and the share of distinct words in tenths."""
+def tokens_of(text: Column) -> Column:
+    """Lower-case words between blanks and marks of punctuation."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D.,;:!?]+"), lambda w: w != "")
+
+
+def buckets_of(words: Column, text: Column) -> Column:
+    """Distinct buckets of a text: its words, and in tenths per word its signs, runs of capitals and distinct words."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"), lambda w: w != "")
-    shape = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "9"), r"[\p{L}0-8]+", "a")
-    shapes = F.transform(F.array_distinct(F.split(shape, r"[\x20\x09-\x0D.,;:!?]+")), lambda s: F.concat(F.lit("#"), s))
 
-    def of(w: Column) -> Column:
-        d = F.array_distinct(w)
-        tenth = F.concat(F.lit("##"), F.coalesce(F.floor(F.try_divide(10 * F.size(d), F.size(w))), F.lit(0)).cast("string"))
-        return F.transform(F.concat(d, shapes, F.array(tenth)), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+    def tenths(mark: str, n: Column, of: Column) -> Column:
+        share = F.least(F.coalesce(F.floor(F.try_divide(10 * n, of)), F.lit(0)), F.lit(20))
+        return F.concat(F.lit(mark), share.cast("string"))
+
+    def of(d: Column) -> Column:
+        n = F.size(words)
+        marks = [tenths("#s", F.regexp_count(text, F.lit(r"[#*$%&|<>!]")), n), tenths("#c", F.regexp_count(text, F.lit(r"\p{Lu}\p{Lu}+")), n), tenths("#d", F.size(d), n)]
+        return F.transform(F.concat(d, F.array(*marks)), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
 
-    return F.array_distinct(let(words, of))
+    return F.array_distinct(let(F.array_distinct(words), of))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict:
@@ -63,7 +68,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict:
     seen = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(rows), "_id")
     # copies count once, lest a document repeated a hundred times decide what marks its domain
     seen = seen.groupBy(F.md5("_text").alias("_m")).agg(F.max("_k").alias("_k"), F.min("_text").alias("_text"))
-    got = seen.select("_m", "_k", F.concat_ws(",", buckets_of(F.col("_text"))).alias("_b")).orderBy("_m").collect()
+    got = seen.select("_m", "_k", F.concat_ws(",", buckets_of(tokens_of(F.col("_text")), F.col("_text"))).alias("_b")).orderBy("_m").collect()
     cols = [np.array(r["_b"].split(","), np.int64) for r in got]
     begin = np.append(0, np.cumsum([len(c) for c in cols])).astype(np.int64)
     return fit_softmax(begin, np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([r["_k"] for r in got], np.int64))
@@ -124,7 +129,7 @@ def memberships(docs: DataFrame, model: dict) -> DataFrame:
     base = 1  # log odds against the clean domain
 
     def table(x: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(f"{v:.4g}" for v in x)), ",").cast("array<double>")
+        return F.split(F.lit(",".join(f"{v:.3g}" for v in x)), ",").cast("array<double>")
 
     def log_odds(k: int) -> Column:
         weight, shift = model["t"] * (model["w"][:, k] - model["w"][:, base]), float(model["t"] * (model["b"][k] - model["b"][base]))
@@ -135,7 +140,8 @@ def memberships(docs: DataFrame, model: dict) -> DataFrame:
     for k in range(len(DOMAINS)):
         if k != base:
             logit[k] = log_odds(k)
-    out = docs.withColumns({"_n": F.size(words_of(F.col("text"))).cast("double"), "_b": buckets_of(F.col("text"))})
+    out = docs.withColumn("_w", tokens_of(F.col("text")))
+    out = out.withColumns({"_n": F.size("_w").cast("double"), "_b": buckets_of(F.col("_w"), F.col("text"))}).drop("_w")
     # exp(min(x, 500)) keeps the sum finite; a posterior below 1e-217 is 0 in effect
     out = out.withColumns({f"_e{k}": F.exp(F.least(c, F.lit(500.0))) for k, c in logit.items()} | {f"_e{base}": F.lit(1.0)})
     total = sum((F.col(f"_e{k}") for k in range(len(DOMAINS))), F.lit(0.0))
@@ -156,21 +162,25 @@ def fit(members: DataFrame, targets: np.ndarray | None = None, shares: dict | No
     """Steps of projected gradient over the posterior table."""
     k = range(len(DOMAINS))
     p, n = [F.col(f"_p{i}") for i in k], F.col("_n")
-    first = members.agg(*[F.sum(n * p[i]).alias(f"s{i}") for i in k], *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
-    held = np.array([float(first[f"s{i}"] or 0) for i in k])
-    gram = np.array([[float(first[f"g{i}_{j}"] or 0) for j in k] for i in k])
+
+    def measured(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected domain totals, and the Gram matrix of the documents that still have a rate."""
+        live = F.when(rate > 0, n).otherwise(0.0)
+        row = members.agg(*[F.sum(rate * n * p[i]) for i in k], *[F.sum(live * p[i] * p[j]) for i in k for j in k]).first()
+        x = np.array([float(v or 0) for v in row])
+        return x[: len(DOMAINS)], x[len(DOMAINS) :].reshape(len(DOMAINS), -1)
+
+    total, gram = measured(F.lit(1.0))
     if targets is None:
         share = np.array([(shares or SHARES)[d] for d in DOMAINS])
-        targets = share / share[1] * held[1]
-    white, steps, total = np.linalg.pinv(gram, rcond=1e-12, hermitian=True), [], held
+        targets = share / share[1] * total[1]
+    steps: list[np.ndarray] = []
     for _ in range(rounds):
         gap = total - targets
         if np.abs(gap).max() <= TOLERANCE * max(targets.max(), 1e-12):
             break
-        steps.append(white @ gap)
-        rate = rate_of(steps)
-        row = members.agg(*[F.sum(rate * n * p[i]) for i in k]).first()
-        total = np.array([float(x or 0) for x in row])
+        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap)
+        total, gram = measured(rate_of(steps))
     return steps
 
 
