@@ -451,17 +451,38 @@ def test_probes_come_in_falling_success():
 # -- all together -------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, sf_dir):
+def test_pipeline_equals_plain_version(spark, sf_dir):
     import corpus_pipeline
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = documents
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, sf_dir).cache()
-        assert kept.columns == documents.columns and 0 < kept.count() <= docs.count() + 20, name
-        docs = kept
-    found = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    _check_pieces(found, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    one = stages[0](spark, documents, sf_dir).cache()
+    rules = registry.queries()["op4_line_frequency_rules"](spark, sf_dir)
+    assert one.columns == documents.columns and ids(one) == ids(rules.filter("kept"))
+
+    two = stages[1](spark, one, sf_dir).cache()
+    model, kept = fm_quality.train(one, labels), []
+    for r in one.collect():
+        if fm_quality.probability(model, fm_quality.raw_scores(model, *fm_quality.features(pa.array([r["text"]]))))[0] >= 0.3:
+            kept.append(r["doc_id"])
+    assert two.columns == documents.columns and ids(two) == sorted(kept)
+
+    three = stages[2](spark, two, sf_dir).cache()
+    classes = _plain_classes([(r["doc_id"], r["text"]) for r in two.collect()])
+    assert three.columns == documents.columns and ids(three) == sorted(i for i, c in classes.items() if i == c)
+
+    four = stages[3](spark, three, sf_dir).cache()
+    copies = Counter(ids(four))
+    rates = {r["doc_id"]: (r["_rate"], r["_u"]) for r in mixing.mixed(three, mixing.learn(documents, labels)).collect()}
+    assert four.columns == documents.columns and all(copies.get(i, 0) == math.floor(r + u) for i, (r, u) in rates.items())
+
+    texts = [(r["doc_id"], r["text"]) for r in four.collect()]
+    _check_pieces(stages[4](spark, four, sf_dir).collect(), texts)
+    whole = corpus_pipeline.run(spark, sf_dir).filter("start = 0").collect()
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in whole) == Counter((i, len(_ids(t))) for i, t in texts)
 
 
 def test_registered_names():
