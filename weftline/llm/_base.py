@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
@@ -52,9 +52,10 @@ def release() -> None:
 atexit.register(release)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled join (same rows either way)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """Hint a broadcast only after summing the rows' bytes; a larger side is left to a shuffled join (same rows)."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -106,7 +106,7 @@ def judged(
     """``docs`` with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _removed (lines),
     _left_words, _clean_text and _kept."""
     frequent = _base.materialize(frequent_lines(docs, min_docs, max_share), "lines")
-    small = _base.broadcast_if_small(frequent.withColumnRenamed("_host", "_h2"), 2000)
+    small = _base.broadcast_if_small(frequent.withColumnRenamed("_host", "_h2"), 64 + 48 * F.size("_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn("_words", words_of(F.col("text")))
     base = base.withColumns(

@@ -286,7 +286,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     lead = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("id"))).alias("l"), F.count(F.lit(1)).alias("n"))
     members = _base.materialize(band.join(lead.filter("n > 1").select("key", F.col("l.id").alias("hub"), "n"), "key"), "buckets")
     pairs = members.filter("id <> hub").groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
-    pairs = pairs.select((F.col("a") + F.col("b") - F.col("hub")).alias("id"), "hub")
+    pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "hub")
     wanted = members.select(F.col("id").alias("_w")).distinct().hint("shuffle_hash")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("_text"))
     texts = _base.materialize(texts.join(wanted, F.col("id") == F.col("_w")).drop("_w"), "texts")
