@@ -436,6 +436,18 @@ def test_neighbours(spark):
     assert len(few) == 2 and ann.nearest(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_outlying_queries_find_all_they_ask_for(spark):
+    rng = np.random.RandomState(9)
+    v = 0.01 * rng.normal(size=(400, 8)) + np.array([5.0] + [0.0] * 7)
+    v[0], v[20] = [-3.0] + [0.0] * 7, [0.0] * 7 + [2.0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    found = Counter(r["query_id"] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect())
+    assert found == {i: 20 for i in range(0, 400, 20)}
+    small = ann.nearest(spark.createDataFrame(rows[:12], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    s = v[:12] @ v[0]
+    assert [r["vec_id"] for r in sorted(small, key=lambda r: r["rank"])] == [int(i) for i in np.lexsort((np.arange(12), -s)) if i][:11]
+
+
 def test_probes_come_in_falling_success():
     rng = np.random.RandomState(8)
     pts = rng.normal(size=(200, 9))

@@ -5,10 +5,11 @@ queries q -> (q M / |q|, 0), with M the largest norm. Each of ``TABLES`` tables
 projections cut into slots of width W; K grows with the logarithm of the table so that buckets number about the square
 root of the rows. A query visits its own bucket and then perturbed buckets in the order of their estimated success
 probability, the product over projections of the normal mass of the slot for a neighbour at distance R, until the
-visited mass reaches ``SUCCESS`` in each table (two tables then miss a neighbour at R with (1 - SUCCESS)^2). R is the mean distance of a query's farthest wanted neighbour, measured
-on a bounded sample of queries and vectors (``SAMPLE``) and scaled to the table's size; every row is indexed and no bucket or
-candidate list is capped. Candidates of a bucket are compared exactly (inner products in double precision of the
-original vectors) in blocks; each task keeps the best found per query, and the tables' results are merged.
+visited mass reaches ``SUCCESS`` in each table (two tables then miss a neighbour at R with (1 - SUCCESS)^2). R is the
+mean distance of a query's farthest wanted neighbour, measured on a bounded sample (``SAMPLE``) and scaled to the
+table's size; every row is indexed and no bucket or candidate list is capped. Candidates of a bucket are compared
+exactly (inner products in double precision of the original vectors) in blocks; each task keeps the best found per
+query, and the tables' results are merged. A query that has met fewer than it asks for is compared with every vector.
 
 Equal vectors are one class: a class answers with its ``k + 1`` smallest ids, which is exact, since any further copy
 has the same score and a larger id. Big buckets are split over tasks by a salt, with their probes repeated per salt.
@@ -188,7 +189,10 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
                     lists = [pa.ListArray.from_arrays(cut, pa.array(y)) for y in (i, x)]
                     yield pa.RecordBatch.from_arrays([pa.array(cls[lo:hi]), *lists], names=["cls", "ids", "scores"])
 
-    partial = both.mapInArrow(search, "cls long, ids array<long>, scores array<double>")
+    def partial_of(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(search, "cls long, ids array<long>, scores array<double>")
+
+    partial = partial_of(both)
 
     def merge(batches):
         held = None  # the last query's lists may go on in the next batch
@@ -204,7 +208,22 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
         if held is not None:
             yield pa.RecordBatch.from_arrays([*map(pa.array, held)], names=["cls", "near", "score"])
 
-    merged = partial.repartition("cls").sortWithinPartitions("cls").mapInArrow(merge, "cls long, near long, score double")
+    def best_of(lists: DataFrame) -> DataFrame:
+        return lists.repartition("cls").sortWithinPartitions("cls").mapInArrow(merge, "cls long, near long, score double")
+
+    merged = _base.materialize(best_of(partial), "found")
+    # a query far from all others may have met too few: it is compared with every vector, in blocks
+    met = merged.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    short = asked.join(met, "cls", "left").filter(F.coalesce("n", F.lit(0)) < min(k + 1, n)).select("cls")
+    short = _base.materialize(short, "short")
+    if short.limit(1).count():
+        parts = math.ceil(n / SPLIT)
+        at = F.pmod(F.xxhash64("cls"), F.lit(parts))
+        all_ = classes.select(at.alias("pid"), F.lit(0).alias("role"), "cls", F.array(at).alias("blocks"), "v")
+        ask = short.join(asked_v, "cls").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("pid"), "cls", "v")
+        ask = ask.select("pid", F.lit(1).alias("role"), "cls", F.array("pid").alias("blocks"), "v")
+        rest = all_.unionByName(ask).repartition(max(tasks, parts), "pid").sortWithinPartitions("pid", "role")
+        merged = best_of(partial_of(rest).unionByName(merged.groupBy("cls").agg(F.collect_list("near").alias("ids"), F.collect_list("score").alias("scores"))))
     # classes back to rows: each near class stands for its k + 1 smallest ids
     small = member.select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("r") <= k + 1)
     near = merged.select(F.col("cls").alias("q"), F.col("near").alias("cls"), "score").join(small.select("cls", F.col("id").alias("vec_id")), "cls")
