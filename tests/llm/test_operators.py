@@ -228,6 +228,14 @@ def test_frequent_lines_go_copies_and_rare_lines_stay(spark):
     assert not got[2000]["_kept"] and got[2001]["_base_failed"] and got[2001]["_n_words"] == 0
 
 
+def test_line_frequency_counts_distinct_documents(spark):
+    menu = [f"shared line {k} of the menu" for k in range(12)]
+    rows = [("\n".join([*menu, f"own line {i}"]), "h") for i in range(40)] + [(f"no menu {i}", "h") for i in range(160)]
+    rows += [("one text copied often", "h")] * 1000
+    got = line_rules.frequent_lines(spark.createDataFrame(rows, "text string, source string")).collect()
+    assert [(r["_host"], len(r["_lines"])) for r in got] == [("h", 12)]
+
+
 def test_line_rules_on_odd_rows(odd, none):
     got = line_rules.judged(odd).collect()
     assert len(got) == len(ODD) and line_rules.judged(none).count() == 0

@@ -1,12 +1,12 @@
 """Quality rules by cross-document line frequency (operator 4), DataFrame expressions only.
 
 Lines of each document are normalised (lower case, runs of blanks to one space, trimmed) and hashed. Per host
-(``source``), a line counts once for each distinct document that holds it; documents are told apart by the smallest
-hash of their other lines, so that copies of one document count once. A line over both limits (a number of documents
-and a share of the host's documents) is removed; a document that has lost lines and keeps under ``min_left`` words
+(``source``), a line counts once for each distinct document that holds it; documents are told apart by the md5 of their
+whole text, so that copies of one document count once, here and in the host's number of documents. A line over both
+limits (a number of documents and a share of the host's distinct documents) is removed; a document that has lost lines and keeps under ``min_left`` words
 or under ``min_share`` of its words is depleted. Base rules reject very short and self-repeating documents.
 
-Two scans and one small shuffle: (host, line, context) rows are made distinct before counting, so a hot host or line
+Three scans and one small shuffle: (host, line, digest) rows are made distinct before counting, so a hot host or line
 is summed map-side. The lines over the limit are gathered per host; that table is broadcast only if it is counted to
 be small and joined by shuffle otherwise.
 
@@ -24,7 +24,7 @@ from . import _base
 
 #: A line is removed if over this many distinct documents of its host hold it ...
 MIN_DOCS = 20
-#: ... and over this share of the host's documents.
+#: ... and over this share of the host's distinct documents.
 MAX_SHARE = 0.10
 #: A document is depleted if lines were removed and fewer words are left than this, or a smaller share of its words.
 MIN_LEFT = 5
@@ -87,10 +87,10 @@ def line_hashes(text: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_host, _lines): hashes of the lines over the limits of each host that has any."""
-    hashed = docs.select(F.col("source").alias("_host"), F.array_sort(F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x != ""))).alias("_h"))
-    sizes = docs.groupBy(F.col("source").alias("_host")).agg(F.count(F.lit(1)).alias("_docs"))
-    rows = hashed.select("_host", F.explode(F.transform("_h", lambda x, i: F.struct(x.alias("line"), F.when(i == 0, F.get("_h", F.lit(1))).otherwise(F.get("_h", F.lit(0))).alias("context")))).alias("_x"))
-    counts = rows.select("_host", "_x.line", "_x.context").distinct().groupBy("_host", "line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest")
+    sizes = docs.select(F.col("source").alias("_host"), digest).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
+    rows = docs.select(F.col("source").alias("_host"), digest, F.explode(F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x != ""))).alias("line"))
+    counts = rows.distinct().groupBy("_host", "line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
     joined = counts.join(sizes.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2")))
     over = joined.filter(F.col("_n") > max_share * F.col("_docs"))
     return over.groupBy("_host").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
