@@ -236,6 +236,12 @@ def test_line_frequency_counts_distinct_documents(spark):
     assert [(r["_host"], len(r["_lines"])) for r in got] == [("h", 12)]
 
 
+def test_what_is_left_meets_the_base_minimum(spark):
+    rows = [(i, "this banner stands on all of the pages\n" + " ".join(f"w{i}x{k}" for k in range(15 + i % 2 * 5)), "h") for i in range(60)]
+    got = line_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["_left_words"] == 15 + r["doc_id"] % 2 * 5 and not r["_base_failed"] and r["_kept"] == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_line_rules_on_odd_rows(odd, none):
     got = line_rules.judged(odd).collect()
     assert len(got) == len(ODD) and line_rules.judged(none).count() == 0

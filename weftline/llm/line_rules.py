@@ -3,8 +3,9 @@
 Lines of each document are normalised (lower case, runs of blanks to one space, trimmed) and hashed. Per host
 (``source``), a line counts once for each distinct document that holds it; documents are told apart by the md5 of their
 whole text, so that copies of one document count once, here and in the host's number of documents. A line over both
-limits (a number of documents and a share of the host's distinct documents) is removed; a document that has lost lines and keeps under ``min_left`` words
-or under ``min_share`` of its words is depleted. Base rules reject very short and self-repeating documents.
+limits (a number of documents and a share of the host's distinct documents) is removed; a document that has lost lines and keeps under ``min_left`` words,
+under the base rule's ``MIN_WORDS`` or under ``min_share`` of its words is depleted. Base rules reject very short and
+self-repeating documents.
 
 Three scans and one small shuffle: (host, line, digest) rows are made distinct before counting, so a hot host or line
 is summed map-side. The lines over the limit are gathered per host; that table is broadcast only if it is counted to
@@ -26,7 +27,7 @@ from . import _base
 MIN_DOCS = 20
 #: ... and over this share of the host's distinct documents.
 MAX_SHARE = 0.10
-#: A document is depleted if lines were removed and fewer words are left than this, or a smaller share of its words.
+#: A document is depleted if lines were removed and fewer words are left than this or MIN_WORDS, or a smaller share of its words.
 MIN_LEFT = 5
 MIN_SHARE = 0.30
 #: Base rules.
@@ -127,7 +128,7 @@ def judged(
     changed = F.col("_clean_text").isNotNull() & (F.col("_clean_text") != F.col("text"))
     left = F.when(changed, F.size(words_of(F.col("_clean_text"))).cast("long")).otherwise(F.col("_n_words"))
     out = out.withColumn("_left_words", left)
-    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < min_left) | (F.col("_left_words") < min_share * F.col("_n_words")))
+    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < max(min_left, MIN_WORDS)) | (F.col("_left_words") < min_share * F.col("_n_words")))
     return out.withColumn("_kept", ~F.col("_base_failed") & ~depleted)
 
 
