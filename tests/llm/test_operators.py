@@ -261,6 +261,17 @@ def test_page_parts():
     assert html_main.main_text(page) == "A title\nFirst para, with bold &amp; text.\nSecond.\nitem one\nitem two"
 
 
+def test_nothing_of_the_article_is_dropped():
+    para = "<p>A sentence of the article, with a clause; and more of it, said at some length here.</p>"
+    text = para[3:-4]
+    heading = f"<body><div class=post><h1>Head</h1><div class=body>{para * 9}</div></div></body>"
+    assert html_main.main_text(heading) == "\n".join(["Head", *[text] * 9])
+    lead = f"<body><div class=lead>{para}</div><div class=post>{para * 9}</div></body>"
+    assert html_main.main_text(lead) == "\n".join([text] * 10)
+    linked = f"<body><article><h2><a href=/x>Linked head</a></h2>{para * 9}<ul><li><a href=/r>Reference one</a></li></ul></article></body>"
+    assert html_main.main_text(linked) == "\n".join(["Linked head", *[text] * 9, "Reference one"])
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<p>a", "plain", "<script>x", "<!-- x", "</p></div>", "<p>" * 3000, "<div class='a\"b'>q</div>", "<a href=\"x>y</a> z", "&#0;&#x110000;&bogus;"])
 def test_broken_pages_never_fail(page):
     assert isinstance(html_main.main_text(page), str)

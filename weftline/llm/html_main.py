@@ -4,8 +4,9 @@ Each page is cut into text blocks, each with its root-to-leaf tag path (a tag wi
 text length, punctuation and link characters of all its blocks are summed; a path's ratios are characters per block
 and punctuation per block, discounted by the share of link text. Block scores (those of their path) are smoothed
 along page order, the two ratios are fused by their product, and paths whose mean fused score passes the page's
-threshold are content. The content nodes' common container is then taken whole, so that headings and one-word
-paragraphs of the article stay. Boilerplate elements (by tag, role, class or id words) never count.
+threshold are content. The deepest container of all content nodes is then taken whole, link lists too, so that headings
+and one-word paragraphs of the article stay; headings beside it or its ancestors that come before its end join it.
+Boilerplate elements (by tag, role, class or id words) never count.
 
 Defined results: null html is an empty page; a page without content gives an empty text; repeated rows give a row
 each; other columns are ignored. White space inside a block becomes one space, blocks are joined by one newline, and
@@ -57,6 +58,8 @@ WORDS = frozenset(
 )
 PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACE = re.compile(r"\s+")
+HEADING = re.compile(r"h[1-6]\b")
+LISTS = re.compile(r"(?:ul|ol|table|tbody|tr|blockquote|dl)\b")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -186,27 +189,19 @@ def main_text(page: str | None) -> str:
         fused[path] = fused.get(path, 0) + a * b / sums[path][0]
     mean = sum(fused[p] * sums[p][1] for p in fused) / sum(sums[p][1] for p in fused)
     content = [p for p in fused if fused[p] >= mean / 4 and plain[p] > 0.5] or [max(fused, key=lambda p: fused[p])]
-    box = _container(content, sums)
-    return "\n".join(t for p, t, _ in good if p[: len(box)] == box and plain[p] > 0.2)
-
-
-def _container(content: list[tuple[str, ...]], sums: dict) -> tuple[str, ...]:
-    """The deepest step chain that holds nearly all text of the content paths (an article or main element if one does)."""
-    total = sum(sums[p][1] for p in content)
-    box: tuple[str, ...] = ()
-    while True:
-        below: dict[tuple[str, ...], int] = {}
-        for p in content:
-            if len(p) > len(box) + 1 and p[: len(box)] == box:
-                below[p[: len(box) + 1]] = below.get(p[: len(box) + 1], 0) + sums[p][1]
-        best = max(below, key=lambda p: below[p], default=None)
-        if best is None or below[best] < 0.8 * total or re.match(r"(?:ul|ol|table|tbody|tr|blockquote|dl)\b", best[-1]):
-            return box
-        box = best
-        if re.match(r"(?:article|main)\b", box[-1]):
-            inner = [p for p in content if p[: len(box)] == box and any(re.match(r"article\b", s) for s in p[len(box) :])]
-            if sum(sums[p][1] for p in inner) < 0.8 * total:
-                return box
+    box = _container(content)
+    inside = [p[: len(box)] == box for p, _, _ in good]
+    last = max(i for i, x in enumerate(inside) if x)
+    above = (HEADING.match(p[-1]) and p[:-1] == box[: len(p) - 1] if p else False for p, _, _ in good)
+    return "\n".join(t for i, ((_, t, _), x, h) in enumerate(zip(good, inside, above, strict=True)) if x or h and i < last)
+
+
+def _container(content: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The deepest step chain that holds all content paths: an article or main element if one does, never a list or table."""
+    short = min(len(p) for p in content)
+    deep = next((i for i in range(max(short - 1, 0)) if len({p[i] for p in content}) > 1 or LISTS.match(content[0][i])), max(short - 1, 0))
+    box = content[0][:deep]
+    return box[: max((i + 1 for i, s in enumerate(box) if re.match(r"(?:article|main)\b", s)), default=deep)]
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
