@@ -348,6 +348,23 @@ def test_cross_entropy_equals_plain(spark):
     assert got[4]["n_words"] == 0 and got[4]["score"] == 0 and got[3]["score"] > got[1]["score"]
 
 
+def test_cross_entropy_counts_every_word_apart(spark):
+    # as many distinct words as the smoothing's number of words: none may share a count with another
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(5000))) for i in range(60)] + [(100, "w0x1 w0x2 unseen1 unseen2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    model = cross_entropy.train(docs, labels)
+    got = {r["doc_id"]: r for r in cross_entropy.scored(docs, model).collect()}
+    v, n = 60 * 5000 + 3, 60 * 5000 + 4 + 61
+    single = lambda c, total: (c + 0.5) / (total + 0.5 * v)
+    loss = lambda p, c, a, total: -math.log(0.6 * min((p + 4 * single(c, total)) / (a + 4), 1) + 0.4 * single(c, total))
+    back = [loss(1, 2, 61, n), loss(2, 2, 2, n), loss(1, 1, 2, n), loss(1, 1, 1, n)]
+    target = [loss(0, 1, 1, 5001), loss(1, 1, 1, 5001), loss(0, 0, 1, 5001), loss(0, 0, 0, 5001)]
+    assert got[100]["background_loss"] == pytest.approx(sum(back) / 4) and got[100]["target_loss"] == pytest.approx(sum(target) / 4)
+    other = cross_entropy.scored(docs.filter("doc_id = 100"), model).collect()
+    assert len(other) == 1 and other[0]["score"] == pytest.approx(got[100]["score"])
+
+
 def test_cross_entropy_on_odd_rows(odd, none, labels):
     assert cross_entropy.scored(odd, cross_entropy.train(odd, labels)).count() == len(ODD)
     assert cross_entropy.scored(none, cross_entropy.train(none, labels.limit(0))).count() == 0
