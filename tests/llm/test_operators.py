@@ -62,10 +62,19 @@ def _ids(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(_tokens.default_path())
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_ids_are_those_of_the_untouched_tokenizer(monkeypatch):
+    texts = ["<|endoftext|>", "a <|endoftext|>b<|endoftext|><|endoftext|> c", "<|endoftext", "plain text,  é中 \n\n 12", "<|endoftext|> " * 300]
+    fast = _tokens.encoder(_tokens.default_path())
+    assert [fast(t).tolist() for t in texts] == [_ids(t)[:-1] for t in texts] and 50256 in fast(texts[1])
+    monkeypatch.setattr(_tokens, "_cache", {})
+    monkeypatch.setattr(_tokens.os.path, "exists", lambda p: False)
+    slow = _tokens.encoder(_tokens.default_path())
+    assert [slow(t).tolist() for t in texts] == [_ids(t)[:-1] for t in texts]
+
+
 def _check_pieces(found, texts, width=1024):
     """Pieces cover each document exactly and fill their sequences without gaps."""
     by_seq, total = defaultdict(list), 0
@@ -114,6 +123,31 @@ def test_windows_are_the_stream(spark, docs):
     assert all(len(r["ids"]) == 2048 or r["n_ids"].bit_count() == 1 for r in got)
 
 
+def test_windows_of_long_documents(spark):
+    docs = spark.createDataFrame([(1, "long words here " * 9000), (2, None), (3, "x"), (4, "more of it " * 5000)], "doc_id long, text string").coalesce(2)
+    stream = b"".join(bytes(r["_ids"]) for r in packing.placed(docs).orderBy("_start").collect())
+    got = packing.sequences(docs, 64).orderBy("sequence_id").collect()
+    assert b"".join(bytes(r["ids"])[: 2 * r["n_ids"]] for r in got) == stream and all(r["n_ids"] == 64 for r in got[:-1])
+
+
+def test_written_matrices_round_trip(spark, odd, tmp_path):
+    bfd_packing.write_packed(odd, str(tmp_path / "packed"))
+    found = Counter()
+    pieces = defaultdict(dict)
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        ids = np.frombuffer(r["ids"], "<u2")
+        assert len(ids) == 1024 and r["cu_seqlens"][-1] == r["n_ids"] and not ids[r["n_ids"] :].any()
+        for k, (a, b) in enumerate(zip(r["cu_seqlens"], r["cu_seqlens"][1:])):
+            assert np.frombuffer(r["positions"], "<u2")[a:b].tolist() == list(range(b - a))
+            if r["doc_tokens"][k] == b - a:
+                found[r["doc_ids"][k], tuple(ids[a:b])] += 1
+            else:
+                pieces[r["doc_ids"][k]][r["starts"][k]] = ids[a:b].tolist()
+    for doc, parts in pieces.items():
+        found[doc, tuple(x for at in sorted(parts) for x in parts[at])] += 1
+    assert found == Counter((r[0], tuple(_ids(r[1]))) for r in ODD)
+
+
 def test_best_fit_decreasing(odd, none):
     rng = np.random.RandomState(3)
     lengths = rng.randint(1, 65, 400).tolist()

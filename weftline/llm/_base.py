@@ -18,13 +18,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder. Where spark.checkpoint.dir is unset, a temporary folder serves a local master
+    (tests), whose executors share it; any other master is an error, since its executors could not read it."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = getattr(spark.sparkContext, "_weftline_scratch", None)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(context, "_weftline_scratch", None)
         if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-            spark.sparkContext._weftline_scratch = root
+            root = context._weftline_scratch = "file://" + tempfile.mkdtemp(prefix="weftline-")
     return root.rstrip("/")
 
 
@@ -34,24 +37,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def release() -> None:
-    """Delete every scratch table of this process (also runs at exit)."""
-    while _written:
-        spark, path = _written.pop()
+def mark() -> int:
+    """How many scratch tables there are: ``release`` may later delete those written since."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch tables written after ``since`` but those of ``keep`` (at exit: all). Only for tables that
+    nothing will read again."""
+    kept, drop = {getattr(df, "_scratch", None) for df in keep}, _written[since:]
+    del _written[since:]
+    for spark, path in reversed(drop):
+        if path in kept:
+            _written.insert(since, (spark, path))
+            continue
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone already
+        except Exception:  # at exit the JVM may be gone already
+            if since:
+                raise
             return
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete these scratch tables; only for tables that nothing will read again."""
+    for df in tables:
+        at = next((i for i, (_, path) in enumerate(_written) if path == getattr(df, "_scratch", None)), None)
+        if at is not None:
+            later = _written[at + 1 :]
+            del _written[at + 1 :]
+            release(at)
+            _written.extend(later)
+
+
 atexit.register(release)
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by place, so that no inner name can clash, and the new name of each."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     """Hint a broadcast only after summing the rows' bytes; a larger side is left to a shuffled join (same rows)."""
     size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0

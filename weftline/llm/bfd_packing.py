@@ -1,14 +1,17 @@
 """Token-id output packed by best-fit decreasing (operator 2).
 
 Documents are tokenized and packed inside their task, in blocks of about ``BLOCK`` tokens, so nothing is shuffled and
-memory is bounded. Documents longer than a row are split losslessly: full rows first, then the rest. Pieces are placed
+memory is bounded. Which documents share a row thus depends on how the input is split; the share of padding hardly
+does (README). Documents longer than a row are split losslessly: full rows first, then the rest. Pieces are placed
 longest first into the open row with the least sufficient room; that room is found by a segment tree over capacities
 (leaf c counts rows with c free places). Row ids hold the task and a running number, as retries reproduce them.
 
 Real output (``packed``): one row per sequence with the id matrix row (uint16 LE, padded), cumulative segment lengths
 and position ids that restart at each segment. ``write_packed`` stores it as Parquet.
 
-Defined results: null and empty texts hold the closing id alone; repeated or null doc_ids are packed each on its own.
+Defined results: null and empty texts hold the closing id alone; a very long text is encoded whole and cut at
+multiples of the width; repeated rows and repeated or null doc_ids are packed each on its own; pieces of equal length
+are placed in the order read; an empty table packs nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ def packed(docs: DataFrame, width: int = WIDTH, tokenizer: str | None = None) ->
             held.clear()
             total = 0
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _base.slices(whole, "_t")):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text) if text else np.zeros(0, np.uint16), np.uint16(END_ID))
                 held.append((doc, ids))
@@ -131,7 +134,7 @@ def digest(rows: DataFrame) -> DataFrame:
     """One row per piece, with the crc32 of its ids (unsigned little-endian 32 bit)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _base.slices(whole, "ids", 4 << 20)):
             out = [[] for _ in range(7)]
             for seq, ids, cu, docs, starts, whole in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 wide = np.frombuffer(ids, "<u2").astype("<u4")

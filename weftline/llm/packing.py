@@ -5,9 +5,11 @@ shared folder; task totals and their prefix sums give each task's global offset.
 document's own and cuts at every multiple of the window. Only ids cross a stage; nothing is shuffled but one total
 per task.
 
-Defined results: a null text is empty and yields only the closing id; empty texts likewise; rows with the same or a
-null doc_id are packed each on its own; an empty table packs nothing; other columns are ignored. Order of documents
-is that of the input's tasks and rows, frozen by the written table, so lost executors cannot change it.
+Defined results: a null text is empty and yields only the closing id; empty texts likewise; a very long text is
+encoded whole and lies in as many windows as it needs; rows with the same or a null doc_id, ties and repeated rows are
+packed each on its own; an empty table packs nothing; other columns are ignored, whatever their names. Order of
+documents is that of the input's tasks and rows, frozen by the written table, so lost executors cannot change it.
+Memory is bounded by runs of ``RUN`` bytes of text or ids, or one longer document.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import _base, _tokens
 
 WINDOW = 1024
 END_ID = 0
+#: Bytes of text or ids handled at a time.
+RUN = 2 << 20
 #: Totals of this many tasks are summed per group, so that no single window holds them all.
 GROUP = 1024
 
@@ -40,7 +44,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
         encode, part, at = _tokens.encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            for piece in _base.slices(batch, "_text", 2 << 20):
+            for piece in _base.slices(batch, "_text", RUN):
                 ids = [(encode(t).tobytes() if t else b"") + end for t in piece.column(1).to_pylist()]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 where = at + np.cumsum(n) - n
@@ -76,7 +80,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None)
     """One row per piece of a document that lies in one window."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _base.slices(whole, "_ids", RUN)):
             out = [[] for _ in range(7)]
             for doc, ids, n, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 wide, at = np.frombuffer(ids, "<u2").astype("<u4").tobytes(), 0
@@ -97,25 +101,29 @@ def sequences(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     there; only fragments at task borders are shuffled and joined. The last window is left at its own length when that
     is a power of two and otherwise padded with the closing id; n_ids tells how many ids are real."""
 
+    size = 2 * window
+
     def run(batches):
-        kept, at = b"", None  # bytes of the open window, global position of the next id
+        kept, first, at = bytearray(), 0, None  # the open window's bytes, where they begin in it, next global id
 
         def fragment():
-            seq, off = divmod(at - len(kept) // 2, window)
-            return seq, off, kept
+            return (at - len(kept) // 2) // window, first, bytes(kept)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _base.slices(whole, "_ids", RUN)):
             rows = []
             for ids, start in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if at != start:
                     if kept:
                         rows.append(fragment())
-                    kept, at = b"", start
-                kept, at = kept + ids, at + len(ids) // 2
-                while kept and (first := (at - len(kept) // 2) % window) + len(kept) // 2 >= window:
-                    cut = 2 * (window - first)
-                    rows.append(((at - len(kept) // 2) // window, first, kept[:cut]))
-                    kept = kept[cut:]
+                    kept, first, at = bytearray(), start % window, start
+                done = 0
+                while done < len(ids):
+                    take = min(size - 2 * first - len(kept), len(ids) - done)
+                    kept += ids[done : done + take]
+                    done, at = done + take, at + take // 2
+                    if 2 * first + len(kept) == size:
+                        rows.append(fragment())
+                        kept, first = bytearray(), 0
             yield as_batch(rows)
         if kept:
             yield as_batch([fragment()])
