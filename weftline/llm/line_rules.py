@@ -2,18 +2,21 @@
 
 Lines of each document are normalised (lower case, runs of blanks to one space, trimmed) and hashed. Per host
 (``source``), a line counts once for each distinct document that holds it; documents are told apart by the md5 of their
-whole text, so that copies of one document count once, here and in the host's number of documents. A line over both
-limits (a number of documents and a share of the host's distinct documents) is removed; a document that has lost lines and keeps under ``min_left`` words,
-under the base rule's ``MIN_WORDS`` or under ``min_share`` of its words is depleted. Base rules reject very short and
-self-repeating documents.
+whole text, so that copies of one document count once, here and in the host's number of documents. A line is over the
+limits if more than ``MIN_DOCS`` distinct documents hold it, and more than a tenth of the host's (``MAX_SHARE``) or,
+where that is less, ``ROOT`` times the square root of their number: what a large host repeats thousands of times is
+boilerplate long before it stands in a tenth of its pages. Lines under ``LINE_WORDS`` words are only judged by the
+share. Lines over the limits are removed; a document that has lost lines and keeps under ``MIN_WORDS`` words, as the
+base rule asks, or under ``min_share`` of its words is depleted. Base rules reject very short and self-repeating documents.
 
 Three scans and one small shuffle: (host, line, digest) rows are made distinct before counting, so a hot host or line
-is summed map-side. The lines over the limit are gathered per host; that table is broadcast only if it is counted to
-be small and joined by shuffle otherwise.
+is summed map-side. The lines over the limits are gathered per host in short hashed lists, so that a look-up does not
+grow with their number; that table is broadcast only if it is counted to be small and joined by shuffle otherwise.
 
-Defined results: a null text has no words (base_failed); a null source is a host of its own; repeated rows and null
-doc_ids are judged row by row; an empty table gives an empty result. Extra columns pass through ``judged`` (prefixed
-names inside avoid clashes).
+Defined results: a null text has no words (base_failed); a null source is a host of its own; repeated rows, ties and
+null doc_ids are judged row by row; very long texts are judged whole, and two windows are equal if their 64-bit hashes
+are; an empty table gives an empty result. Extra columns pass through ``judged`` and ``stage`` whatever their names,
+but where a column of the input is named like a result of ``judged``, the result stands.
 """
 
 from __future__ import annotations
@@ -25,15 +28,21 @@ from . import _base
 
 #: A line is removed if over this many distinct documents of its host hold it ...
 MIN_DOCS = 20
-#: ... and over this share of the host's distinct documents.
+#: ... and over this share of the host's distinct documents, or over ROOT times the root of their number, if that is less.
 MAX_SHARE = 0.10
-#: A document is depleted if lines were removed and fewer words are left than this or MIN_WORDS, or a smaller share of its words.
-MIN_LEFT = 5
+ROOT = 2.0
+#: Shorter lines are judged by the share alone.
+LINE_WORDS = 5
+#: A document is depleted if lines were removed and fewer words are left than MIN_WORDS, or a smaller share of its words than this.
 MIN_SHARE = 0.30
 #: Base rules.
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SPAN = 8
+#: Hashes in one list of a host's lines, about.
+LIST = 16
+RESULTS = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_left_words", "_clean_text", "_kept")
+
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
@@ -48,7 +57,7 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
     """Words inside windows of ``span`` words that occur twice or more in the list.
 
     Windows are hashed; a list whose window hashes are all distinct ends there. Otherwise equal windows are found by
-    sorting: hash and position share one long (43 + 21 bits) for up to a million words, a struct beyond.
+    sorting pairs of 64-bit hash and position.
     """
 
     def covered(pos: Column) -> Column:
@@ -56,19 +65,14 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
         gaps = F.transform(pos, lambda p, i: F.when(i == F.size(pos) - 1, F.lit(span)).otherwise(F.least(F.lit(span), F.get(pos, i + 1) - p)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def twins(s: Column, key, place) -> Column:
-        same = lambda a, b: F.coalesce(key(a) == key(b), F.lit(False))
+    def twins(s: Column) -> Column:
+        same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
         hits = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-        return F.array_sort(F.transform(hits, lambda x: place(x).cast("int")))
+        return F.sort_array(F.transform(hits, lambda x: x["i"]))
 
     def sorted_pairs(w: Column) -> Column:
-        low, high = F.lit((1 << 21) - 1).cast("long"), F.lit(-(1 << 21)).cast("long")
-        packed = F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))
-        wide = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(
-            F.size(w) < (1 << 20),
-            let(packed, lambda s: let(twins(s, lambda x: F.shiftright(x, 21), lambda x: x.bitwiseAND(low)), covered)),
-        ).otherwise(let(wide, lambda s: let(twins(s, lambda x: x["h"], lambda x: x["i"]), covered)))
+        pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(pairs, lambda s: let(twins(s), covered))
 
     def of_hashes(h: Column) -> Column:
         window = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(span)])
@@ -81,35 +85,49 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
 
 
 def line_hashes(text: Column) -> Column:
-    """md5 of each \\n-split normalised line, empty for those without a word."""
+    """Key of each \\n-split normalised line: md5 after l (long) or s (under LINE_WORDS words); empty for those without a word."""
     squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.transform(F.split(squeezed, "\n"), lambda s: F.when(F.trim(s) == "", F.lit("")).otherwise(F.md5(F.trim(s))))
+
+    def key(line: Column) -> Column:
+        size = F.when(F.size(F.split(line, " ", LINE_WORDS)) == LINE_WORDS, F.lit("l")).otherwise(F.lit("s"))
+        return F.when(line == "", F.lit("")).otherwise(F.concat(size, F.md5(line)))
+
+    return F.transform(F.split(squeezed, "\n"), lambda s: key(F.trim(s)))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(_host, _lines): hashes of the lines over the limits of each host that has any."""
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, root: float = ROOT) -> DataFrame:
+    """(_host, _line): keys of the lines over the limits. ``docs`` has text and source."""
     digest = F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest")
     sizes = docs.select(F.col("source").alias("_host"), digest).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
-    rows = docs.select(F.col("source").alias("_host"), digest, F.explode(F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x != ""))).alias("line"))
-    counts = rows.distinct().groupBy("_host", "line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
+    rows = docs.select(F.col("source").alias("_host"), digest, F.explode(F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x != ""))).alias("_line"))
+    counts = rows.distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
     joined = counts.join(sizes.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2")))
-    over = joined.filter(F.col("_n") > max_share * F.col("_docs"))
-    return over.groupBy("_host").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
-
-
-def judged(
-    docs: DataFrame,
-    min_docs: int = MIN_DOCS,
-    max_share: float = MAX_SHARE,
-    min_left: int = MIN_LEFT,
-    min_share: float = MIN_SHARE,
-) -> DataFrame:
-    """``docs`` with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _removed (lines),
-    _left_words, _clean_text and _kept."""
-    frequent = _base.materialize(frequent_lines(docs, min_docs, max_share), "lines")
-    small = _base.broadcast_if_small(frequent.withColumnRenamed("_host", "_h2"), 64 + 48 * F.size("_lines"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn("_words", words_of(F.col("text")))
+    share = max_share * F.col("_docs")
+    limit = F.when(F.col("_line").startswith("l"), F.least(share, root * F.sqrt("_docs"))).otherwise(share)
+    return joined.filter(F.col("_n") > limit).select("_host", "_line")
+
+
+def line_lists(lines: DataFrame) -> DataFrame:
+    """(_host, _lists): a host's lines in about one list for ``LIST`` of them; a line is in list hash modulo their number."""
+    sized = lines.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_k")).withColumnRenamed("_host", "_h2")
+    placed = lines.join(sized, F.col("_host").eqNullSafe(F.col("_h2"))).select("_host", _list_of(F.col("_line"), F.col("_k")).alias("_b"), "_line")
+    empty = sized.select(F.col("_h2").alias("_host"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_b"), F.lit(None).cast("string").alias("_line"))
+    lists = placed.unionByName(empty).groupBy("_host", "_b").agg(F.collect_list("_line").alias("_l"))
+    return lists.groupBy("_host").agg(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_l"))), lambda x: x["_l"]).alias("_lists"))
+
+
+def _list_of(line: Column, lists: Column) -> Column:
+    return F.pmod(F.xxhash64(line), lists).cast("int")
+
+
+def _judged(docs: DataFrame, text_col: str, host_col: str, min_docs: int, max_share: float, min_share: float) -> DataFrame:
+    """``docs``, whose own columns must not be named like a result, with ``RESULTS``."""
+    lines = frequent_lines(docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("source")), min_docs, max_share)
+    frequent = _base.materialize(line_lists(_base.materialize(lines, "lines")), "lists")
+    size = F.aggregate("_lists", F.lit(64).cast("long"), lambda a, x: a + 24 + 49 * F.size(x))
+    small = _base.broadcast_if_small(frequent.withColumnRenamed("_host", "_h2"), size)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.withColumn("_words", words_of(F.col(text_col)))
     base = base.withColumns(
         {
             "_n_words": F.size("_words").cast("long"),
@@ -120,18 +138,25 @@ def judged(
         }
     ).drop("_words")
     base = base.withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words")))
-    base = base.join(small, F.col("source").eqNullSafe(F.col("_h2")), "left").drop("_h2")
-    keep = F.filter(F.arrays_zip(F.split(text, "\n").alias("s"), line_hashes(F.col("text")).alias("h")), lambda x: ~F.array_contains(F.col("_lines"), x["h"]))
+    base = base.join(small, F.col(host_col).eqNullSafe(F.col("_h2")), "left").drop("_h2")
+    held = lambda h: F.array_contains(F.get("_lists", _list_of(h, F.size("_lists"))), h)
+    keep = F.filter(F.arrays_zip(F.split(text, "\n").alias("s"), line_hashes(F.col(text_col)).alias("h")), lambda x: ~held(x["h"]))
     kept_text = F.array_join(F.transform(keep, lambda x: x["s"]), "\n")
-    cut = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept_text)
-    out = base.withColumn("_clean_text", cut).drop("_lines")
-    changed = F.col("_clean_text").isNotNull() & (F.col("_clean_text") != F.col("text"))
-    left = F.when(changed, F.size(words_of(F.col("_clean_text"))).cast("long")).otherwise(F.col("_n_words"))
-    out = out.withColumn("_left_words", left)
-    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < max(min_left, MIN_WORDS)) | (F.col("_left_words") < min_share * F.col("_n_words")))
+    out = base.withColumn("_clean_text", F.when(F.col("_lists").isNull(), F.col(text_col)).otherwise(kept_text)).drop("_lists")
+    changed = F.col("_clean_text").isNotNull() & (F.col("_clean_text") != F.col(text_col))
+    out = out.withColumn("_left_words", F.when(changed, F.size(words_of(F.col("_clean_text"))).cast("long")).otherwise(F.col("_n_words")))
+    depleted = (F.col("_left_words") < F.col("_n_words")) & ((F.col("_left_words") < MIN_WORDS) | (F.col("_left_words") < min_share * F.col("_n_words")))
     return out.withColumn("_kept", ~F.col("_base_failed") & ~depleted)
 
 
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_share: float = MIN_SHARE) -> DataFrame:
+    """``docs`` (text, source and any others) with ``RESULTS``: the base figures, the words left, the text without its
+    frequent lines, and the verdict."""
+    inner, at = _base.plain(docs)
+    out = _judged(inner, at["text"], at["source"], min_docs, max_share, min_share)
+    return out.select(*[F.col(at[c]).alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _base.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
@@ -140,8 +165,9 @@ def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents without their over-frequent lines, in the columns of ``docs``."""
-    out = judged(docs).filter("_kept")
-    cols = {c: F.col(c) for c in docs.columns} | {"text": F.col("_clean_text")}
+    inner, at = _base.plain(docs)
+    out = _judged(inner, at["text"], at["source"], MIN_DOCS, MAX_SHARE, MIN_SHARE).filter("_kept")
+    cols = {c: F.col(n) for c, n in at.items()} | {"text": F.col("_clean_text")}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.char_length("_clean_text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[c.alias(n) for n, c in cols.items()])
@@ -164,17 +190,13 @@ l as (
          len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n
   from (select rid, source, unnest(string_split(text, chr(10))) as line from w)),
 dup as (select rid, count(*) - count(distinct line) as n from l where solid group by rid),
-d as (select distinct rid, source, h from l where solid),
-r as (select rid, source, h, row_number() over (partition by rid order by h) as k from d),
-m as (select rid, max(h) filter (where k = 1) as m1, max(h) filter (where k = 2) as m2 from r group by rid),
 c as (
-  select source, h, count(*) as n
-  from (select distinct r.source, r.h, case when r.k = 1 then m.m2 else m.m1 end as x from r join m using (rid))
-  group by source, h),
-hosts as (select source, count(*) as docs from w group by source),
+  select source, h, max(words) as words, count(distinct md5(text)) as n
+  from (select l.source, l.h, l.n as words, w.text from l join w using (rid) where l.solid) group by source, h),
+hosts as (select source, count(distinct md5(text)) as docs from w group by source),
 f as (
   select c.source, c.h from c join hosts on c.source is not distinct from hosts.source
-  where c.n > 20 and c.n > 0.10 * hosts.docs),
+  where c.n > 20 and c.n > case when c.words >= 5 then least(0.10 * hosts.docs, 2 * sqrt(hosts.docs)) else 0.10 * hosts.docs end),
 removed as (
   select l.rid, sum(l.n) as n from l join f on l.h = f.h and l.source is not distinct from f.source
   where l.solid group by l.rid),
@@ -186,7 +208,7 @@ b as (
   from w left join dup using (rid) left join rep using (rid) left join removed using (rid)),
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (left_words < n_words and (left_words < 5 or left_words < 0.30 * n_words)) as kept,
+       not base_failed and not (left_words < n_words and (left_words < 20 or left_words < 0.30 * n_words)) as kept,
        left_words
 from j
 """
