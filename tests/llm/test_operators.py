@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import _graph, _text, _tokens, ann, bfd_packing, cross_entropy, fm_quality, html_main, line_rules, mixing, neardup, packing, registry, token_counts
+from weftline.llm import _base, _graph, _text, _tokens, ann, bfd_packing, cross_entropy, fm_quality, html_main, line_rules, mixing, neardup, packing, registry, token_counts
 
 ODD = [
     (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "   \n\t ", None, None, 6), (4, "one", "en", "a", 3), (5, "one", "en", "a", 3), (None, "no id at all, here", "en", None, None),
@@ -209,7 +209,7 @@ def test_factorisation_identity_and_learning():
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) if i % 2 else "###$$$ " * 20 + "THE END!!" for i in range(300)]
     begin, cols, vals = fm_quality.features(pa.array(texts))
     y = np.arange(300) % 2.0
-    model = fm_quality.fit(begin, cols, vals, y, epochs=3)
+    model = fm_quality.fit(begin, cols, vals, y, steps=15)
     score = fm_quality.probability(model, fm_quality.raw_scores(model, begin, cols, vals))
     assert score[y == 1].min() > score[y == 0].max()
     c, x = cols[begin[0] : begin[1]], vals[begin[0] : begin[1]].astype(float)
@@ -224,6 +224,40 @@ def test_quality_on_odd_rows(spark, odd, none, labels):
     assert len(got) == len(ODD) and all(0 <= r["_score"] <= 1 for r in got) and got[0]["score"] == "x"
     assert fm_quality.scored(none, fm_quality.train(none, labels)).count() == 0
     assert {r["_score"] for r in fm_quality.scored(odd, fm_quality.train(odd, labels.limit(0))).collect()} == {0.5}
+    clash = odd.withColumns({"_score": F.lit("old"), "_meta": F.lit("m"), "_c0": F.lit("c")})
+    got = fm_quality.scored(clash, model).first()
+    assert isinstance(got["_score"], float) and (got["_meta"], got["_c0"]) == ("m", "c")
+
+
+def test_quality_sample_is_bounded(spark):
+    texts = [(i % 7, f"text {i} " + "word " * (i % 5) * 40) for i in range(700)] + [(3, "the same")] * 500 + [(4, None)] * 9
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(7)], "_id long, _y int")
+    got = _base.labelled_texts(docs, chosen, 50, 1 << 20).collect()
+    assert len(got) == 50 and len({(r["_id"], r["_m"]) for r in got}) == 50
+    whole = _base.labelled_texts(docs, chosen, 10_000, 1 << 20).collect()
+    assert len(whole) == 702 and sum(r["_text"] == "the same" for r in whole) == 1
+    assert sum(len(r["_text"] or "") for r in _base.labelled_texts(docs, chosen, 10_000, 3000).collect()) <= 3000
+    assert _base.labelled_texts(docs.limit(0), chosen, 10, 10).count() == 0
+
+
+def test_calibration_by_newton():
+    rng = np.random.RandomState(11)
+    z = rng.normal(size=4000) * 3 + 1
+    y = (rng.uniform(size=4000) < 1 / (1 + np.exp(-(0.7 * z - 1.2)))).astype(float)
+    a, b = fm_quality.platt(z, y)
+    assert a == pytest.approx(0.7, abs=0.06) and b == pytest.approx(-1.2, abs=0.15)
+    a, b = fm_quality.platt(np.array([-2.0, -1.0, 1.0, 2.0] * 20), np.array([0.0, 0.0, 1.0, 1.0] * 20))
+    assert np.isfinite([a, b]).all() and 1 / (1 + np.exp(-(a + b))) > 0.9
+
+
+@pytest.mark.parametrize("sf,most", [("0.01", 0.2), ("0.1", 0.1)])
+def test_predictions_decide_on_held_out_documents(spark, sf, most):
+    d = f"/root/testdata/sf{sf}"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = registry.queries()["op1_factorisation_machine_quality"](spark, d).filter("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    good, bad = ([r["predicted"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) > 0.93 and np.mean(bad) <= most
 
 
 def test_quality_generalises(spark):

@@ -107,3 +107,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         total += n
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, rows: int, most: int, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(_id, _m, _text, ``carry`` and the other columns of ``chosen``): each distinct text of the ids in ``chosen``
+    (column _id, at most ``rows`` of them, broadcast) once, in the order of a hash until ``rows`` texts or ``most`` bytes
+    are reached. A learner's sample is thus bounded in rows and bytes, however often an id or a text is repeated."""
+    own = [c.alias(n) for n, c in (carry or {}).items()]
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *own).join(F.broadcast(chosen), "_id")
+    keyed = texts.withColumn("_m", F.md5(F.coalesce("_text", F.lit("")))).withColumn("_h", F.xxhash64("_id", "_m"))
+    sizes = keyed.groupBy("_id", "_m", "_h").agg(F.max(F.coalesce(F.octet_length("_text"), F.lit(0))).alias("_size"))
+    total, last = 0, None
+    for r in sizes.orderBy("_h").limit(rows).collect():
+        total += r["_size"]
+        if last is not None and total > most:
+            break
+        last = r["_h"]
+    picked = keyed.filter(F.col("_h") <= last) if last is not None else keyed.limit(0)
+    return picked.dropDuplicates(["_id", "_m"]).drop("_h")
