@@ -468,10 +468,28 @@ def test_cross_entropy_on_odd_rows(odd, none, labels):
 
 
 def _plain_classes(docs, threshold=0.8):
-    texts = [(i, t) for i, t in docs if i is not None]
-    key, owner, tf = neardup.doc_shingles(pa.array([t for _, t in texts], pa.string()))
-    weights = neardup.idf_weights(np.bincount(neardup.cell_of(key), minlength=neardup.CELLS).astype(float), len(docs))
-    w, at = tf * weights[neardup.cell_of(key)].astype(float), _text.segments(owner, len(texts))
+    """Classes by comparing all pairs of texts, word by word; only the contexts are the operator's."""
+    texts = [(i, (t or "").lower().split()) for i, t in docs if i is not None]
+    grams = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for _, w in texts]
+    key, owner, _ = neardup.doc_shingles(pa.array([t for i, t in docs if i is not None], pa.string()))
+    full = [k for k, g in enumerate(grams) if g]
+    context = dict(zip(full, neardup.contexts(key, np.searchsorted(owner, full)).tolist(), strict=True))
+    held = defaultdict(set)
+    for k in full:
+        for g in grams[k]:
+            held[g].add(context[k])
+    total = len(set(context.values()))
+    limit = max(20, total / 20)
+    idf = {g: 1.0 if len(c) <= limit else max(0.1, math.log(total / len(c)) / math.log(total / limit)) for g, c in held.items()}
+    weight = [{g: n * idf[g] for g, n in x.items()} for x in grams]
+    mass = [sum(x.values()) for x in weight]
+    near = defaultdict(Counter)  # pairs that share a shingle, and what they share
+    where = defaultdict(list)
+    for k, x in enumerate(weight):
+        for g, w in x.items():
+            for j in where[g]:
+                near[k][j] += min(w, weight[j][g])
+            where[g].append(k)
     root = {i: i for i, _ in texts}
 
     def find(x):
@@ -479,10 +497,9 @@ def _plain_classes(docs, threshold=0.8):
             x = root[x]
         return x
 
-    for a in range(len(texts)):
-        for b in range(a):
-            s = neardup.weighted_jaccard(key[at[a] : at[a + 1]], w[at[a] : at[a + 1]], key[at[b] : at[b + 1]], w[at[b] : at[b + 1]])
-            if s >= threshold:
+    for a, found in near.items():
+        for b, both in found.items():
+            if both >= threshold * (mass[a] + mass[b] - both) - 1e-9:
                 x, y = sorted((find(texts[a][0]), find(texts[b][0])))
                 root[y] = x
     return {i: find(i) for i, _ in texts}
@@ -531,10 +548,41 @@ def test_consistent_sampling_estimates_weighted_jaccard():
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     found, _ = neardup.classes(odd)
     got = {r["doc_id"]: r["class_id"] for r in found.collect()}
-    assert got[4] == got[5] == 4 and got[2] == 2 and got[3] == 3 and got[1] == 1 and got[None] is None and found.count() == 10
+    assert got[4] == got[5] == 4 and got[2] == 2 and got[3] == 3 and got[1] == 1 and got[None] is None and found.count() == len(set(r[:2] for r in ODD))
     assert neardup.classes(none)[0].count() == 0
     out = neardup.stage(spark, odd, "")
     assert out.columns == odd.columns and out.filter("doc_id = 5").count() == 0 and out.filter("doc_id is null").count() == 1
+    assert Counter(r["doc_id"] for r in out.collect()) == {1: 1, 2: 1, 3: 1, 4: 1, None: 1, 6: 1, 7: 2, 8: 1, 9: 1}
+
+
+def test_repeated_rows_and_rows_without_id_leave_one(spark):
+    long = "some words that make a text of more than a few shingles so that it can be near another one " * 3
+    rows = [(5, long, 1), (5, long, 2), (5, long, 3), (None, long, 4), (None, long, 5), (6, long + "end", 6), (None, "other words alone here", 7), (None, "other words alone here", 8)]
+    rows += [(9, "first text of an id with two texts", 9), (9, "second one, quite another text of this id", 10), (None, " ", 11), (None, " ", 12), (8, None, 13), (8, None, 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _p int")
+    out = neardup.stage(spark, df, "")
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == df.columns and left == {(5, long): 1, (None, "other words alone here"): 1, (9, rows[8][1]): 1, (9, rows[9][1]): 1, (None, " "): 2, (8, None): 1}
+    found = {(r["doc_id"], r["n_rows"]): (r["class_id"], r["is_kept"]) for r in neardup.classes(df)[0].collect()}
+    assert found[5, 3] == (5, True) and found[6, 1] == (5, False) and found[8, 2] == (8, True)
+
+
+def test_boilerplate_weighs_less_and_a_group_of_copies_does_not(spark):
+    rng = np.random.RandomState(12)
+    banner = " ".join(f"b{k}" for k in range(60))
+    own = lambda i, n: " ".join(f"o{i}x{k}" for k in range(n))
+    rows = [(i, f"{banner} {own(i, 9)}") for i in range(300)]  # mostly boilerplate, but each its own text
+    base = own("g", 120).split()
+    for i in range(1000, 1150):
+        text = list(base)
+        text[rng.randint(len(text))] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(i, own(i, 80)) for i in range(2000, 2300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weights = neardup.corpus_weights(docs)
+    assert len(weights["key"]) and weights["w"].min() < 0.5
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs)[0].collect()}
+    assert all(got[i] == i for i in range(300)) and {got[i] for i in range(1000, 1150)} == {1000}
 
 
 def test_components(spark):

@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other")
     both = _base.materialize(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
     label = _base.materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    kept = label
     while True:
         near = both.join(label.select(F.col("node").alias("other"), F.col("label").alias("_l")), "other")
         best = near.groupBy("node").agg(F.min("_l").alias("_m"))
@@ -25,6 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = label.select(F.col("node").alias("_step"), F.col("label").alias("_j"))
         moved = step.join(jump, "_step", "left").select("node", F.least("_step", F.coalesce("_j", "_step")).alias("label"), "_old")
         moved = _base.materialize(moved, "labels")
+        _base.discard(kept)
         if moved.filter("label <> _old").limit(1).count() == 0:
+            _base.discard(both)
             return moved.select("node", F.col("label").alias("component"))
-        label = moved.select("node", "label")
+        kept, label = moved, moved.select("node", "label")

@@ -1,31 +1,42 @@
 """Near-duplicate classes by consistent weighted sampling (operator 8).
 
-1. Statistics: every document's distinct five-word shingles are counted into a fixed table of ``CELLS`` hashed cells,
-   summed over all documents. A cell's background (its share of all shingles plus three deviations) is taken off, so
-   that a shingle's document frequency rises over 1 only where it stands out. The table's size is a parameter, not
-   the corpus', and it is the only thing sent to all tasks.
-2. Weights: tf * idf, idf clipped at ln ``COMMON`` and scaled to 0.5 .. 1. Boilerplate of most documents weighs half;
-   a large group of near copies, whose shared shingles are frequent by the group's own number, is not held apart.
+1. Statistics: a shingle's document frequency counts the *contexts* that hold it, over all documents: a context is the
+   pair of smallest hashes (by two hash functions) among a document's distinct five-word shingles, so that a group of
+   copies or near copies counts about once and is not taken for boilerplate by its own size. Frequencies are exact for
+   every shingle in over 1 of ``COMMON`` contexts (and over ``FEW``): one pass sums contexts into fixed cells, which
+   bound the frequencies of their shingles from above; a second pass counts, by shuffle, the shingles of those cells
+   that reach the limit. Only the shingles over the limit are sent to all tasks: at most ``COMMON`` times the mean
+   number of shingles in a document, however many documents there are.
+2. Weights: tf * idf, idf = ln(C / df) over its value at the limit; rarer shingles weigh 1, ubiquitous ones ``FLOOR``.
 3. Signatures: improved consistent weighted sampling, ``BANDS`` * ``ROWS`` samples (k*, t*) per document, drawn as
-   argmin of ln c - r (t - beta + 1) with r, c ~ Gamma(2, 1) and beta uniform by hash of (shingle, sample).
-4. Exact copies (equal text digest) become one class with one representative; only representatives go on.
+   argmin of ln c - r (t - beta + 1) with r, c ~ Gamma(2, 1) and beta uniform by hash of (shingle, sample). Sixteen bits
+   of each sample are kept as the sketch.
+4. Exact copies (equal text digest) are one node; only nodes go on.
 5. Candidates: in each band bucket all members are compared with one member (by a hash), so pairs grow with the rows.
    Buckets that then still hold several classes are finished: each member outside the bucket's largest class meets
-   every other member, in blocks of bounded size inside tasks; only links that join classes leave a task. So no two
-   classes in a bucket stay uncompared, and nothing but texts in blocks is shuffled for it.
-6. Verification is the exact weighted Jaccard of the whole texts; hubs with many members are split by a salt.
+   every other member, in blocks of bounded size inside tasks, first by sketch; the texts of those whose sketches agree
+   follow, and only links that join classes leave a task. So no two classes in a bucket stay uncompared.
+6. A pair's texts meet only if at least ``AGREE`` of its 48 samples do (a pair of similarity 0.8 in a common bucket has
+   fewer with probability 1e-6, under the 2e-3 at which the bands miss it). Verification is the exact weighted Jaccard of
+   the whole texts; hubs with many members are split by a salt.
 7. Classes are connected components of the verified links; the smallest doc_id names the class.
 
-Defined results: texts without words (null, empty, blank) are a class of their own each, as are rows with a null
-doc_id (class null); documents with one to four words have one shingle of them all; ties cannot occur, since classes are named by
-the smallest id; rows with the same doc_id are one document; an empty table gives an empty result.
+Hot keys: per-key tables are written before rows are joined to them, so that both sides of such a join are plain
+shuffles and the engine's skew handling can split a hot digest, bucket or class; bucket and hub work is salted.
+
+Defined results: a document is a distinct (doc_id, text): repeated rows are one document, and an id with several texts
+is several documents of that id. Texts without words (null, empty, blank) are a class of their own each. Rows with a
+null doc_id join classes, never name one unless no member has an id (class null). Documents with one to four words have
+one shingle of them all; very long texts are sampled and compared whole. Ties cannot occur, since the smallest (id,
+digest) names and represents a class; an empty table gives an empty result. The stage keeps one row of each class,
+repeated rows included, with all its columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base, _graph, _text
@@ -35,8 +46,12 @@ THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
 CELLS = 1 << 18
-#: idf is clipped at the logarithm of this: only shingles of more than one in COMMON documents weigh less.
-COMMON = 4
+#: idf falls for shingles in more than one of COMMON contexts, if those are more than FEW, down to FLOOR.
+COMMON = 20
+FEW = 20
+FLOOR = 0.1
+#: Equal samples of the 48 that a pair needs for its texts to be compared.
+AGREE = 27
 SALT_ROWS = 256
 QUERY_BLOCK = 256
 MEMBER_BLOCK = 1024
@@ -56,34 +71,94 @@ def doc_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _text.counted(*_text.shingles(h, at, SHINGLE))
 
 
+def contexts(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One value for each text from its two smallest shingle hashes; ``first``: where its shingles begin (none empty)."""
+    if not len(first):
+        return np.zeros(0, U)
+    one, two = (np.minimum.reduceat(_text.mix(key ^ salt), first) for salt in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)))
+    return _text.mix(one * U(0xD6E8FEB86659FD93) + two)
+
+
+def _contexts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of texts, the number of each one's context, and the contexts."""
+    key, owner, _ = doc_shingles(texts)
+    new = np.ones(len(owner), bool)
+    new[1:] = owner[1:] != owner[:-1]
+    found, number = np.unique(contexts(key, np.flatnonzero(new)), return_inverse=True)
+    return key, number[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64), found
+
+
+def _pairs(key: np.ndarray, number: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, number) pairs, numbers under ``most``."""
+    order = np.lexsort((number, key))
+    key, number = key[order], number[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
+    return key[new], number[new]
+
+
 def cell_of(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> U(40)).astype(np.int64) & (CELLS - 1)
 
 
-def corpus_weights(docs: DataFrame) -> np.ndarray:
-    """Weight of a shingle by its cell, from the document frequencies of all documents."""
+def limit_of(total: int) -> float:
+    """Contexts that a shingle must exceed for its idf to fall."""
+    return max(float(FEW), total / COMMON)
 
-    def run(batches):
-        seen, n = np.zeros(CELLS, np.int64), 0
+
+def corpus_weights(docs: DataFrame) -> dict:
+    """The shingles whose idf is less than 1 (sorted) and their weights, from all documents."""
+    texts = docs.select(F.col("text").alias("_text"))
+
+    def cells(batches):
+        seen = np.zeros(CELLS, np.int64)
         for batch in batches:
             for part in _base.slices(batch, "_text"):
-                key, _, _ = doc_shingles(part.column(0))
-                seen += np.bincount(cell_of(key), minlength=CELLS)
-                n += part.num_rows
+                key, number, found = _contexts_of(part.column(0))
+                cell, _ = _pairs(cell_of(key), number, len(found))
+                seen += np.bincount(cell, minlength=CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 1), pa.int32()), pa.array(found.view(np.int64)), pa.array(np.ones(len(found), np.int64))], names=["kind", "value", "n"])
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["cell", "n"])
-
-    got = docs.select(F.col("text").alias("_text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = np.asarray(got["cell"]), np.asarray(got["n"])
-    table = np.zeros(CELLS)
-    table[cell[cell >= 0]] = n[cell >= 0]
-    return idf_weights(table, int(n[cell < 0].sum()))
-
-
-def idf_weights(table: np.ndarray, docs: int) -> np.ndarray:
-    mean = table.mean()
-    df = np.clip(table - mean - 3 * np.sqrt(mean), 1, max(docs, 1))
-    return np.clip(np.log(max(docs, 1) / df) / np.log(COMMON), 0.5, 1).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at)), pa.int32()), pa.array(at), pa.array(seen[at])], names=["kind", "value", "n"])
+
+    first = _base.materialize(texts.mapInArrow(cells, "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "cells")
+    total = first.filter("kind = 1").count()
+    heavy = first.filter((F.col("kind") == 0) & (F.col("n") > limit_of(total))).select("value").toArrow()["value"]
+    _base.discard(first)
+    if not len(heavy):
+        return {"key": np.zeros(0, U), "w": np.zeros(0, np.float32)}
+    marked = np.zeros(CELLS, bool)
+    marked[np.asarray(heavy)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
+
+    def exact(batches):
+        for batch in batches:
+            for part in _base.slices(batch, "_text"):
+                key, number, found = _contexts_of(part.column(0))
+                use = shared.value[cell_of(key)]
+                k, c = _pairs(key[use], number[use], len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(found[c].view(np.int64))], names=["shingle", "context"])
+
+    counted = texts.mapInArrow(exact, "shingle long, context long").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    got = counted.filter(F.col("df") > limit_of(total)).toArrow()
+    key, df = np.asarray(got["shingle"]).view(U), np.asarray(got["df"])
+    order = np.argsort(key)
+    return {"key": key[order], "w": idf(df[order], total)}
+
+
+def idf(df: np.ndarray, total: int) -> np.ndarray:
+    """ln(C / df) over its value at the limit, between FLOOR and 1."""
+    top = np.log(max(total / limit_of(total), 1 + 1e-9))
+    return np.clip(np.log(max(total, 1) / np.maximum(df, 1)) / top, FLOOR, 1).astype(np.float32)
+
+
+def weight_of(weights: dict, key: np.ndarray) -> np.ndarray:
+    out = np.ones(len(key), np.float32)
+    if len(weights["key"]):
+        at = np.minimum(np.searchsorted(weights["key"], key), len(weights["key"]) - 1)
+        hit = weights["key"][at] == key
+        out[hit] = weights["w"][at[hit]]
+    return out
 
 
 def _gamma2(levels: int) -> np.ndarray:
@@ -125,8 +200,8 @@ def icws(key: np.ndarray, weight: np.ndarray, first: np.ndarray, samples: int) -
     return out
 
 
-def signatures(docs: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, md5, bands) for every document; no bands for texts without words."""
+def signatures(docs: DataFrame, weights: dict, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, md5, bands, sketch) for every row; no bands for texts without words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -138,15 +213,25 @@ def signatures(docs: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: i
                 full = np.flatnonzero(np.diff(at))
                 n = np.zeros(part.num_rows, np.int64)
                 n[full] = 1
-                drawn = icws(key, tf.astype(np.float32) * table[cell_of(key)], at[full], bands * rows) if len(full) else np.zeros((0, bands * rows), U)
+                drawn = icws(key, tf.astype(np.float32) * weight_of(table, key), at[full], bands * rows) if len(full) else np.zeros((0, bands * rows), U)
                 step = _text._STEP[:rows]
                 band = _text.mix((drawn.reshape(-1, bands, rows) * step).sum(2, dtype=U) + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15))
                 cut = lambda k: pa.array(np.append(0, np.cumsum(n * k)), pa.int32())
                 keys = pa.ListArray.from_arrays(cut(bands), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys], names=["id", "md5", "bands"])
+                sketch = pa.ListArray.from_arrays(cut(bands * rows), pa.array((drawn & U(0xFFFF)).astype(np.uint16).view(np.int16).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, sketch], names=["id", "md5", "bands", "sketch"])
+
+    thin = docs.select(F.col("doc_id").cast("long").alias("id"), _digest(F.col("text")).alias("md5"), F.col("text").alias("_text"))
+    return thin.mapInArrow(run, "id long, md5 binary, bands array<long>, sketch array<short>")
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"), F.col("text").alias("_text"))
-    return thin.filter("id is not null").mapInArrow(run, "id long, md5 binary, bands array<long>")
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _person(doc_id: Column, digest: Column) -> Column:
+    """Key of a document: its digest and its id, which may be null."""
+    return F.concat(digest, F.encode(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), "utf-8"))
 
 
 def weighted_jaccard(ak, aw, bk, bw) -> float:
@@ -159,11 +244,20 @@ def weighted_jaccard(ak, aw, bk, bw) -> float:
     return both / (float(aw.sum()) + float(bw.sum()) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = AGREE) -> DataFrame:
+    """Pairs (id, hub) whose sketches agree in at least ``least`` samples."""
+    sketch = lambda n: nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s_{n}"))
+    both = pairs.join(sketch("id"), "id").join(sketch("hub"), "hub")
+    same = F.aggregate(F.zip_with("s_id", "s_hub", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.filter(same >= least).select("id", "hub")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, weights: dict, threshold: float) -> DataFrame:
     """Pairs (id, hub) whose texts reach the threshold, with ``similarity``. Texts meet per (hub, salt), streamed."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
-    split = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s"))
-    salted = pairs.join(split, "hub").select("hub", "id", F.expr("pmod(xxhash64(id), _s)").alias("salt"))
+    split = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s")).filter("_s > 1")
+    split = _base.broadcast_if_small(_base.materialize(split, "split"), 24)
+    salted = pairs.join(split, "hub", "left").select("hub", "id", F.expr("pmod(xxhash64(id), coalesce(_s, 1))").alias("salt"))
     needs = salted.withColumn("role", F.lit(1)).unionByName(salted.select("hub", F.col("hub").alias("id"), "salt", F.lit(0).alias("role")).distinct())
     rows = needs.join(texts, "id").select("hub", "salt", "role", "id", "_text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
@@ -173,7 +267,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
         for batch in batches:
             for part in _base.slices(batch, "_text"):
                 key, owner, tf = doc_shingles(part.column(4))
-                w = tf.astype(np.float64) * table[cell_of(key)]
+                w = tf.astype(np.float64) * weight_of(table, key)
                 at = _text.segments(owner, part.num_rows)
                 out = ([], [], [])
                 for i, (h, role, d) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
@@ -219,18 +313,81 @@ class Block:
         return both / np.maximum(whole, 1e-300)
 
 
-def bridged(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """Links between different classes inside buckets that hold several: every member outside a bucket's largest class
-    is compared with every other member, in blocks, and a link is returned wherever it joins two classes not joined
-    before in the same block. ``rest``: key, id, comp, main, n (members), nd (those outside the main class)."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def _blocks_of(rest: DataFrame, *extra: str) -> DataFrame:
+    """Rows of the blocks in which mixed buckets are finished: (key, qb, mb, role, id, comp, ``extra``), asked first."""
     qbs, mbs = F.ceil(F.col("nd") / QUERY_BLOCK).cast("int"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asked = rest.filter("comp <> main").select("key", "id", "comp", mine(qbs).alias("qb"), each(mbs).alias("mb"), F.lit(0).alias("role"))
-    met = rest.select("key", "id", "comp", each(qbs).alias("qb"), mine(mbs).alias("mb"), F.lit(1).alias("role"))
-    rows = asked.unionByName(met).join(texts, "id").select("key", "qb", "mb", "role", "id", "comp", "_text")
-    rows = rows.repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb", "role")
+    asked = rest.filter("comp <> main").select("key", mine(qbs).alias("qb"), each(mbs).alias("mb"), F.lit(0).alias("role"), "id", "comp", *extra)
+    met = rest.select("key", each(qbs).alias("qb"), mine(mbs).alias("mb"), F.lit(1).alias("role"), "id", "comp", *extra)
+    return asked.unionByName(met)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb", "role")
+
+
+def _cuts(part: pa.RecordBatch) -> list[tuple[tuple, int, int, int]]:
+    """(block, role, begin, end) of each run of rows."""
+    place = list(zip(*(part.column(i).to_pylist() for i in range(4)), strict=True))
+    at = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+    return [(place[a][:3], place[a][3], a, b) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+
+
+def worth_comparing(rest: DataFrame, least: int = AGREE) -> DataFrame:
+    """Of the rows of all blocks, those with a partner of another class whose sketch agrees with theirs."""
+    rows = _in_blocks(_blocks_of(rest, "sketch"))
+    names = ["key", "qb", "mb", "role", "id", "comp"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        at, asked, used = None, [], []
+
+        def batch_of(block, role, ids, comps):
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([block[0]] * n, [block[1]] * n, [block[2]] * n, [role] * n, ids, comps), kinds, strict=True)], names=names)
+
+        def close():
+            if used and np.concatenate(used).any():
+                keep = np.concatenate(used)
+                ids, comps, _ = (np.concatenate(x) for x in zip(*asked, strict=True))
+                yield batch_of(at, 0, ids[keep], comps[keep])
+
+        for batch in batches:
+            ids, comps = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+            flat = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+            sketch = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat
+            for block, role, a, b in _cuts(batch):
+                if block != at:
+                    yield from close()
+                    at, asked, used = block, [], []
+                if role == 0:
+                    asked.append((ids[a:b], comps[a:b], sketch[a:b]))
+                    used.append(np.zeros(b - a, bool))
+                elif asked:
+                    if len(asked) > 1:
+                        asked, used = [tuple(np.concatenate(x) for x in zip(*asked, strict=True))], [np.concatenate(used)]
+                    _, own, q = asked[0]
+                    for lo in range(a, b, 64):
+                        hi = min(b, lo + 64)
+                        near = (sketch[lo:hi, None, :] == q[None]).sum(2) >= least
+                        near &= comps[lo:hi, None] != own[None]
+                        used[0] |= near.any(0)
+                        hit = near.any(1)
+                        if hit.any():
+                            yield batch_of(block, 1, ids[lo:hi][hit], comps[lo:hi][hit])
+        yield from close()
+
+    return rows.mapInArrow(run, "key long, qb int, mb int, role int, id long, comp long")
+
+
+def bridged(rest: DataFrame, texts: DataFrame, weights: dict, threshold: float) -> DataFrame:
+    """Links between different classes inside buckets that hold several: every member outside a bucket's largest class
+    is compared with every other member, in blocks, and a link is returned wherever it joins two classes not joined
+    before in the same block. ``rest``: key, id, comp, sketch, main, n (members), nd (those outside the main class)."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    worth = _base.materialize(worth_comparing(rest), "worth")
+    rows = _in_blocks(worth.join(texts, "id").select("key", "qb", "mb", "role", "id", "comp", "_text"))
 
     def run(batches):
         table, at, block, parts, who, joined = shared.value, None, None, [], [], {}
@@ -243,16 +400,14 @@ def bridged(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: f
         for batch in batches:
             for part in _base.slices(batch, "_text", 1 << 17):
                 key, owner, tf = doc_shingles(part.column(6))
-                w = tf.astype(np.float64) * table[cell_of(key)]
+                w = tf.astype(np.float64) * weight_of(table, key)
                 seg = _text.segments(owner, part.num_rows)
-                place = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-                role, ids, comp = (np.asarray(part.column(i)) for i in (3, 4, 5))
-                cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1] or role[i] != role[i - 1]), len(place)]
+                ids, comp = (np.asarray(part.column(i)) for i in (4, 5))
                 out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if place[a] != at:
-                        at, block, parts, who, joined = place[a], None, [], [], {}
-                    if role[a] == 0:
+                for place, role, a, b in _cuts(part):
+                    if place != at:
+                        at, block, parts, who, joined = place, None, [], [], {}
+                    if role == 0:
                         parts += [(key[seg[i] : seg[i + 1]].copy(), w[seg[i] : seg[i + 1]].copy()) for i in range(a, b)]
                         who += list(zip(ids[a:b].tolist(), comp[a:b].tolist(), strict=True))
                         continue
@@ -274,51 +429,99 @@ def bridged(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: f
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id) for every document, and verified links between representatives that span the classes."""
+    """(doc_id, class_id, is_kept, md5, n_rows) for every document, and verified links between nodes that span the classes."""
     docs = docs.select("doc_id", "text")
     weights = corpus_weights(docs)
     signed = _base.materialize(signatures(docs, weights, bands, rows), "signatures")
-    exact = signed.groupBy("md5").agg(F.min("id").alias("rep"))
-    rep = F.when(F.size("bands") == 0, F.col("id")).otherwise(F.col("rep"))
-    signed = _base.materialize(signed.join(exact, "md5").select("id", rep.alias("rep"), "bands"), "signed")
-
-    band = signed.filter("id = rep").select("id", F.explode("bands").alias("key"))
+    people = signed.groupBy("id", "md5").agg(F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    people = _base.materialize(people, "people")
+    _base.discard(signed)
+    wordy = people.filter(F.size("bands") > 0)
+    who = F.struct(F.col("id").isNull().alias("z"), "id", "n")
+    nodes = wordy.groupBy("md5").agg(F.min(who).alias("w"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "md5", F.col("w.id").alias("rep"), F.col("w.n").alias("times"), "copies", "bands", "sketch")
+    nodes = _base.materialize(nodes, "nodes")  # numbers are unique and stay what they are: the table is written once
+
+    band = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     lead = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("id"))).alias("l"), F.count(F.lit(1)).alias("n"))
-    members = _base.materialize(band.join(lead.filter("n > 1").select("key", F.col("l.id").alias("hub"), "n"), "key"), "buckets")
+    lead = _base.materialize(lead.filter("n > 1").select("key", F.col("l.id").alias("hub"), "n"), "leads")
+    members = _base.materialize(band.join(lead, "key"), "buckets")
     pairs = members.filter("id <> hub").groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "hub")
-    wanted = members.select(F.col("id").alias("_w")).distinct().hint("shuffle_hash")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("_text"))
-    texts = _base.materialize(texts.join(wanted, F.col("id") == F.col("_w")).drop("_w"), "texts")
+    pairs = _base.materialize(agreeing(pairs, nodes), "pairs")
+    texts = _texts(docs, nodes, members)
     links = _base.materialize(verified(pairs, texts, weights, threshold), "links")
     label = _graph.components(links, "id", "hub")
 
     known = members.filter("n > 2").join(label, members["id"] == label["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    known = _base.materialize(known, "known")
     per = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("nd"))
-    rest = _base.materialize(known.join(per.filter("k > 1").drop("k"), "key"), "rest")
-    named = signed.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    per = _base.materialize(per.filter("k > 1").drop("k"), "mixed")
+    sketch = nodes.select(F.col("node").alias("id"), "sketch")
+    rest = _base.materialize(known.join(per, "key").join(sketch, "id"), "rest")
     more = _base.materialize(bridged(rest, texts, weights, threshold), "links")
     if more.limit(1).count():
         again = _graph.components(more, "a", "b")
-        named = named.join(again.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.coalesce("component", "class_id").alias("class_id"))
+        over = label.join(again.select(F.col("node").alias("component"), F.col("component").alias("_over")), "component", "left")
+        alone = again.join(label.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+        label = _base.materialize(over.select("node", F.coalesce("_over", "component").alias("component")).unionByName(alone), "label")
         links = links.unionByName(more.drop("a", "b"))
-    named = named.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    lost = docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"))
-    return named.select(F.col("id").alias("doc_id"), "class_id").unionByName(lost), links
+
+    linked = _base.materialize(nodes.join(label, "node").select("md5", "rep", "component"), "linked")
+    first = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "md5"))
+    names = _base.materialize(linked.groupBy("component").agg(first.alias("w")), "names")
+    named = linked.join(names, "component").select("md5", F.col("w.rep").alias("class_id"), F.col("w.md5").alias("lead"))
+    alone = nodes.filter("copies > 1").join(label.select("node"), "node", "left_anti").select("md5", F.col("rep").alias("class_id"), F.col("md5").alias("lead"))
+    named = _base.materialize(named.unionByName(alone), "named")
+    found = wordy.select("id", "md5", "n").join(named, "md5", "left")
+    grouped = F.col("lead").isNotNull()
+    found = found.select(
+        F.col("id").alias("doc_id"),
+        F.when(grouped, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+        F.when(grouped, (F.col("md5") == F.col("lead")) & F.col("id").eqNullSafe(F.col("class_id"))).otherwise(F.lit(True)).alias("is_kept"),
+        "md5",
+        F.col("n").alias("n_rows"),
+    )
+    # texts without words, one class each; rows that have no id either cannot be told apart and all stay
+    blank = people.filter(F.size("bands") == 0)
+    blank = blank.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(True).alias("is_kept"), "md5", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n_rows"))
+    return found.unionByName(blank), links
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, _text) of every node in a bucket, from one row of the document that represents it."""
+    wanted = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node").select("node", _person(F.col("rep"), F.col("md5")).alias("_p"), "times")
+    wanted = _base.materialize(wanted, "wanted")
+    rows = docs.select(_person(F.col("doc_id"), _digest(F.col("text"))).alias("_p"), F.col("text").alias("_text"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(_base.broadcast_if_small(some, 64), "_p").select(F.col("node").alias("id"), "_text")
+
+    out = of(wanted.filter("times = 1"))
+    if wanted.filter("times > 1").limit(1).count():
+        out = out.unionByName(of(wanted.filter("times > 1")).dropDuplicates(["id"]))
+    return _base.materialize(out, "texts")
 
 
 def op8_icws_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = classes(_base.read(spark, sf_dir, "documents"))
-    return found.withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return found.select("doc_id", "class_id", "is_kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names each class (and rows without doc_id), in the columns of ``docs``."""
-    found, _ = classes(docs)
-    drop = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return out
+    """One row of each class, in the columns of ``docs``."""
+    inner, at = _base.plain(docs)
+    found, _ = classes(inner.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+    marked = found.filter("not is_kept or n_rows > 1").select(_person(F.col("doc_id"), F.col("md5")).alias("_p"), "is_kept")
+    marked = _base.materialize(marked, "marked")
+    keyed = inner.withColumn("_p", _person(F.col(at["doc_id"]), _digest(F.col(at["text"]))))
+    out = keyed.join(_base.broadcast_if_small(marked.select("_p"), 64), "_p", "left_anti").select(*inner.columns)
+    repeated = marked.filter("is_kept").select("_p")
+    if repeated.limit(1).count():
+        again = keyed.join(_base.broadcast_if_small(repeated, 64), "_p", "left_semi").dropDuplicates(["_p"])
+        out = out.unionByName(again.select(*inner.columns))
+    return out.toDF(*docs.columns)
 
 
 QUERIES = {"op8_icws_near_duplicates": op8_icws_near_duplicates}
