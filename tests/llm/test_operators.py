@@ -366,6 +366,74 @@ def test_nothing_of_the_article_is_dropped():
     assert html_main.main_text(linked) == "\n".join(["Linked head", *[text] * 9, "Reference one"])
 
 
+def test_names_weigh_and_ratios_decide():
+    para = "<p>A sentence of the article, with a clause; and more of it, said at some length here.</p>"
+    text = para[3:-4]
+    body = f"<article><h1>T</h1>{para * 4}<div class='legal-history'><p>Short law.</p></div><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>{para}</article>"
+    assert html_main.main_text(body) == "\n".join(["T", *[text] * 4, "Short law.", "One", "Two", text])
+    history = f"<body><div class=top><a href=/>Home</a></div><div class='related-work'>{para * 6}</div><div class=menu><a href=/a>A</a> <a href=/b>B</a></div></body>"
+    assert html_main.main_text(history) == "\n".join([text] * 6)
+    comments = f"<body><div id=post>{para * 6}</div><div class='post-comments'><p>I think so too, and well said.</p><p>Me not, I fear.</p></div></body>"
+    assert html_main.main_text(comments) == "\n".join([text] * 6)
+    header = f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header>{para * 3}<footer>Posted, long ago.</footer></article></body>"
+    assert html_main.main_text(header) == "\n".join(["Title", *[text] * 3])
+    edges = f"<body><div><a href=/a>Menu one</a><a href=/b>Menu two</a></div><div>{para * 3}</div><div>{para * 3}</div><div><a href=/c>Imprint</a></div></body>"
+    assert html_main.main_text(edges) == "\n".join([text] * 6)
+
+
+def _slow_paths(page):
+    """Ratios of each path, by name, from the elements' chains: the method as stated, with no shortcuts."""
+    def chain(e):
+        return [] if e == 0 else [*chain(page.parent[e]), e]
+
+    step = {p: s for (_, s), p in page.paths.items()}
+    name = lambda e: tuple(step[page.path[x]] for x in chain(e))
+    rows = [(name(e), t, k, min([1.0, *(page.weight[x] for x in chain(e))])) for e, t, k in zip(page.owner, page.text, page.links)]
+    ratio = {}
+    for p in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == p]
+        chars, marks, links = sum(len(r[1]) for r in mine), sum(sum(c in ".,;:!?…。，、；：！？¿¡" for c in r[1]) for r in mine), sum(r[2] for r in mine)
+        ratio[p] = chars / len(mine) * (1 - links / chars), (1 + marks) / len(mine) * (1 - links / chars), 1 - links / chars, chars
+    def smooth(i, j):
+        return (ratio[rows[max(i - 1, 0)][0]][j] + 2 * ratio[rows[i][0]][j] + ratio[rows[min(i + 1, len(rows) - 1)][0]][j]) / 4
+
+    fused = {p: np.mean([math.sqrt(smooth(i, 0) * smooth(i, 1)) * r[3] for i, r in enumerate(rows) if r[0] == p]) for p in ratio}
+    weight = {r[0]: r[3] for r in rows}
+    mean = sum(fused[p] * ratio[p][3] * weight[p] for p in fused) / sum(ratio[p][3] * weight[p] for p in fused)
+    chosen = {p for p in fused if fused[p] >= 0.4 * mean * (1 - 1e-12) and ratio[p][2] > 0.5}
+    return {r[0] in (chosen or {max(fused, key=fused.get)}) for r in rows}, [r[0] in chosen for r in rows]
+
+
+def test_paths_equal_slow_ratios(spark, sf_dir):
+    rng = np.random.RandomState(21)
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    words = ["Lo, and so.", "one two three four", "<a href=/x>link here</a>", "<b>bold</b>, yes;", "much longer text, with clauses, and more; said twice."]
+    for _ in range(150):
+        tags = rng.choice(["p", "div", "li", "div class=ad", "section id=comments", "h2", "span class=promo", "td", "div class='legal-note x'"], 30)
+        pages.append("".join(f"<{t}>" + " ".join(rng.choice(words, rng.randint(0, 5))) + (f"</{t.split()[0]}>" if rng.rand() < 0.7 else "") for t in tags))
+    for text in pages:
+        page = html_main.parsed(text)
+        if page.text:
+            passed = html_main.content_paths(page)
+            _, want = _slow_paths(page)
+            got = [passed[page.path[e]] for e in page.owner]
+            assert got == want or not any(want)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    deep = "<div>" * 20_000 + "<p>text, at the bottom.</p>"
+    names = "".join(f"<div class=c{i}>word {i}, and so." for i in range(20_000))
+    stray = "<div><p>x" * 10_000 + "</span></b></i>" * 10_000 + "<li>" * 10_000
+    quotes = "<p it's a=\"b>text</p> " * 10_000
+    wide = "<p>many, many paragraphs here.</p>" * 60_000
+    for page, least in ((deep, 20), (names, 1000), (stray, 1), (quotes, 0), (wide, 1_000_000)):
+        began = time.time()
+        assert len(html_main.main_text(page)) >= least
+        assert time.time() - began < (1 if page is deep else 4)
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<p>a", "plain", "<script>x", "<!-- x", "</p></div>", "<p>" * 3000, "<div class='a\"b'>q</div>", "<a href=\"x>y</a> z", "&#0;&#x110000;&bogus;"])
 def test_broken_pages_never_fail(page):
     assert isinstance(html_main.main_text(page), str)
