@@ -700,6 +700,27 @@ def test_outlying_queries_find_all_they_ask_for(spark):
     assert [r["vec_id"] for r in sorted(small, key=lambda r: r["rank"])] == [int(i) for i in np.lexsort((np.arange(12), -s)) if i][:11]
 
 
+def test_vectors_of_any_finite_size(spark):
+    rng = np.random.RandomState(10)
+    v = rng.normal(size=(120, 6))
+    for factor in (1e-200, 1e150, 1e200):
+        rows = [(i, (x * factor).tolist()) for i, x in enumerate(v)] + [(200, [-0.0] * 6), (220, [0.0, float("inf")] + [0.0] * 4)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+        assert Counter(r["query_id"] for r in got) == {i: 20 for i in range(0, 120, 20)}
+
+
+def test_scores_do_not_depend_on_blocks():
+    rng = np.random.RandomState(13)
+    v = rng.normal(size=(300, 37))
+    one = ann._best({0: (np.arange(300), v)}, np.zeros(4, np.int64), np.arange(4), v[:4], 300)
+    parts = {b: (np.arange(b, 300, 7), v[b::7]) for b in range(7)}
+    many = ann._best(parts, np.tile(np.arange(7), 4), np.repeat(np.arange(4), 7), v[:4], 300)
+    assert all((a == b).all() for a, b in zip(one, many))
+    twin = np.vstack([v[:1]] * 50)
+    q, i, _ = ann._best({0: (np.arange(50)[::-1].copy(), twin)}, np.zeros(1, np.int64), np.zeros(1, np.int64), v[:1], 5)
+    assert i.tolist() == [0, 1, 2, 3, 4]
+
+
 def test_probes_come_in_falling_success():
     rng = np.random.RandomState(8)
     pts = rng.normal(size=(200, 9))

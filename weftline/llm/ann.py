@@ -11,12 +11,17 @@ table's size; every row is indexed and no bucket or candidate list is capped. Ca
 exactly (inner products in double precision of the original vectors) in blocks; each task keeps the best found per
 query, and the tables' results are merged. A query that has met fewer than it asks for is compared with every vector.
 
-Equal vectors are one class: a class answers with its ``k + 1`` smallest ids, which is exact, since any further copy
-has the same score and a larger id. Big buckets are split over tasks by a salt, with their probes repeated per salt.
+Equal vectors (by digest of their bytes) are one class: a class answers with its ``k + 1`` smallest ids, which is exact,
+since any further copy has the same score and a larger id. Big buckets are split over tasks by a salt, with their probes
+repeated per salt; bucket sizes, repeated digests and further ids of a class are small tables, broadcast if counted to
+be small, and written before anything is joined to them otherwise, so that a hot key can be split. Scores are summed
+component by component in one fixed order, whichever block a pair meets in; block products only choose what is summed.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components take
-no part, as queries or candidates; null ids likewise; repeated (vec_id, vector) rows count once; fewer candidates than
-k give them all; an empty table gives an empty result; extra columns are ignored.
+no part, as queries or candidates; null ids likewise; repeated (vec_id, vector) rows count once; an id with several
+vectors is each of them; ties go to the smaller vec_id; fewer candidates than k give them all; components are scaled
+by the largest before hashing, so that finite vectors may be of any size (a product beyond a double's range is infinite
+and ranks so); an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,6 +114,20 @@ def probes(p: dict, t: int, point: np.ndarray, success: float) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def digested(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, v) with the digest of each vector's bytes (-0 is 0)."""
+
+    def run(batches):
+        import hashlib
+
+        for batch in batches:
+            v = _matrix(batch.column(1)) + 0.0
+            found = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in v]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(1)], names=["id", "digest", "v"])
+
+    return rows.mapInArrow(run, "id long, digest binary, v array<double>")
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
@@ -117,12 +136,16 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: float = SUCCESS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``queries`` (over id) holds."""
     spark = table.sparkSession
-    rows = _base.materialize(usable(table), "vectors")
-    member = rows.groupBy("v").agg(F.min("id").alias("cls"))
-    member = _base.materialize(rows.join(member, "v").select("id", "cls", "v"), "classes")
-    stat = member.filter("id = cls").agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    rows = _base.materialize(digested(usable(table)), "vectors")
+    again = rows.groupBy("digest").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = _base.broadcast_if_small(_base.materialize(again, "repeated"), 40)
+    member = rows.join(again, "digest", "left").select("id", F.coalesce("cls", "id").alias("cls"), "v")
+    member = _base.materialize(member, "classes")
+    big = member.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / big) * (x / big)))
+    stat = member.filter("id = cls").agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     n, dim, top = int(stat[0]), int(stat[1] or 1), float(stat[2] or 1.0)
-    model = _fitted(member, n, dim, top, k, queries)
+    model = _fitted(member, n, dim, top, big, k)
     shared = spark.sparkContext.broadcast(model)
 
     def index(batches):
@@ -131,7 +154,7 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
             v = _matrix(batch.column(1))
             if not len(v):
                 continue
-            pts = np.hstack([v, np.sqrt(np.maximum(p["top"] ** 2 - (v * v).sum(1), 0))[:, None]])
+            pts = _points(v / p["big"], p["top"])
             for t in range(TABLES):
                 keys = bucket_key(t, np.floor(positions(p, t, pts)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], names=["key", "cls", "v"])
@@ -139,9 +162,9 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
     def visit(batches):
         p = shared.value
         for batch in batches:
-            v = _matrix(batch.column(1))
+            v = _matrix(batch.column(1)) / p["big"]
             for i, cls in enumerate(batch.column(0).to_pylist()):
-                point = np.append(v[i] * p["top"] / np.linalg.norm(v[i]), 0.0)
+                point = np.append(_direction(v[i : i + 1], p["top"])[0], 0.0)
                 found = [bucket_key(t, probes(p, t, point, success)) for t in range(TABLES)]
                 keys = np.unique(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), cls))], names=["key", "cls"])
@@ -152,7 +175,9 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
     asked = member.filter(queries).select("cls").distinct()
     asked_v = classes.join(asked, "cls")
     visits = asked_v.mapInArrow(visit, "key long, cls long")
-    salts = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
+    # about the square root of the rows: buckets and their numbers of salts
+    salts = _base.materialize(data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s")), "buckets")
+    salts = _base.broadcast_if_small(salts, 24)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * TABLES / TASK_ROWS))
     pid = F.pmod(F.xxhash64("key", "salt"), F.lit(tasks)).alias("pid")
     block = F.xxhash64("key", "salt").alias("block")
@@ -225,16 +250,30 @@ def nearest(table: DataFrame, queries: Column, k: int = K_NEAREST, success: floa
         rest = all_.unionByName(ask).repartition(max(tasks, parts), "pid").sortWithinPartitions("pid", "role")
         merged = best_of(partial_of(rest).unionByName(merged.groupBy("cls").agg(F.collect_list("near").alias("ids"), F.collect_list("score").alias("scores"))))
     # classes back to rows: each near class stands for its k + 1 smallest ids
-    small = member.select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("r") <= k + 1)
-    near = merged.select(F.col("cls").alias("q"), F.col("near").alias("cls"), "score").join(small.select("cls", F.col("id").alias("vec_id")), "cls")
+    more = member.filter("id <> cls").select("cls", F.col("id").alias("vec_id"))
+    more = more.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("vec_id"))).filter(F.col("r") <= k).drop("r")
+    more = _base.broadcast_if_small(_base.materialize(more, "further"), 24)
+    near = merged.select(F.col("cls").alias("q"), F.col("near").alias("vec_id"), "score")
+    near = near.unionByName(merged.select(F.col("cls").alias("q"), F.col("near").alias("cls"), "score").join(more, "cls").select("q", "vec_id", "score"))
     per = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("r", F.row_number().over(per)).filter(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("x"))
+    near = _base.materialize(near, "nearest")
     out = member.filter(queries).select("id", F.col("cls").alias("q")).join(near, "q")
     own = F.slice(F.filter("x", lambda e: e["vec_id"] != F.col("id")), 1, k)
     out = out.select(F.col("id").alias("query_id"), F.posexplode(own).alias("rank", "e"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
 
 
+def _points(v: np.ndarray, top: float) -> np.ndarray:
+    return np.hstack([v, np.sqrt(np.maximum(top**2 - (v * v).sum(1), 0))[:, None]])
+
+
+def _direction(v: np.ndarray, top: float) -> np.ndarray:
+    """Vectors (not zero) at length ``top``."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v * (top / np.linalg.norm(v, axis=1, keepdims=True))
+
+
 def _blocks(block: np.ndarray, ids: np.ndarray, v: np.ndarray) -> dict:
     """block -> (ids in order, vectors)."""
     order = np.lexsort((ids, block))
@@ -253,18 +292,29 @@ def _best(ready: dict, block: np.ndarray, owner: np.ndarray, v: np.ndarray, k: i
         if found is None:
             continue
         who = owner[order[a:b]]
-        score = v[who] @ found[1].T
-        if score.shape[1] <= k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = v[who] @ found[1].T
+        if score.shape[1] <= k or not np.isfinite(score).all():
             r, c = np.divmod(np.arange(score.size), score.shape[1])
         else:
+            # a block product is off by less than this; what may be among the best is summed again in a fixed order
+            off = v.shape[1] * 2.0**-50 * np.linalg.norm(v[who], axis=1) * np.linalg.norm(found[1], axis=1).max()
             edge = -np.partition(-score, k - 1, 1)[:, k - 1]
-            r, c = np.nonzero(score >= edge[:, None])  # equal scores at the edge stay: ties are settled below
-        rows.append(who[r])
-        ids.append(found[0][c])
-        scores.append(score[r, c])
+            r, c = np.nonzero(score >= (edge - 2 * off)[:, None])
+        for lo in range(0, len(r), 1 << 16):
+            rr, cc = r[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)]
+            rows.append(who[rr])
+            ids.append(found[0][cc])
+            scores.append(_product(v[who[rr]], found[1][cc]))
     return _leading(np.concatenate(rows), np.concatenate(ids), np.concatenate(scores), k)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed in the order that its length alone fixes."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(np.ascontiguousarray(a * b).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
 def _leading(q: np.ndarray, i: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (query, id, score) entries: the k best distinct ids of each query, in order."""
     order = np.lexsort((i, q))
@@ -277,20 +327,19 @@ def _leading(q: np.ndarray, i: np.ndarray, x: np.ndarray, k: int) -> tuple[np.nd
     return q[place < k], i[place < k], x[place < k]
 
 
-def _fitted(member: DataFrame, n: int, dim: int, top: float, k: int, queries: Column) -> dict:
-    """Slot width and expected neighbour distance from a bounded sample (smallest hashes of id)."""
+def _fitted(member: DataFrame, n: int, dim: int, top: float, big: float, k: int) -> dict:
+    """Slot width and expected neighbour distance from a bounded sample (smallest hashes of id), of scaled vectors."""
     got = member.filter("id = cls").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    v = _matrix(pa.concat_arrays(got["v"].chunks)) if got.num_rows else np.zeros((0, dim))
+    v = _matrix(pa.concat_arrays(got["v"].chunks)) / big if got.num_rows else np.zeros((0, dim))
     if len(v) < 2:
-        return plan(n, dim, top, top, np.zeros((0, dim + 1)))
-    pts = np.hstack([v, np.sqrt(np.maximum(top**2 - (v * v).sum(1), 0))[:, None]])
-    q = v[:256]
-    q = np.hstack([q * top / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None], np.zeros((len(q), 1))])
+        return plan(n, dim, top, top, np.zeros((0, dim + 1))) | {"big": big}
+    pts = _points(v, top)
+    q = np.hstack([_direction(v[:256], top), np.zeros((min(len(v), 256), 1))])
     d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (pts * pts).sum(1)[None] - 2 * q @ pts.T, 0))
     d.sort(1)
     # the wanted neighbour's rank in the sample is its rank in the table, scaled down; itself (first) is left out
     rank = min(len(v) - 1, max(1, math.ceil(k * len(v) / max(n, 1))))
-    return plan(n, dim, top, float(d[:, rank].mean()), pts)
+    return plan(n, dim, top, float(d[:, rank].mean()), pts) | {"big": big}
 
 
 def op9_multiprobe_pstable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
