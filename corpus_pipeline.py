@@ -26,10 +26,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the last stage; each stage is written in the shared folder and read again."""
-    docs = _base.read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = _base.materialize(docs, name)
-    return docs
+    """The pieces of the last stage; each stage is written in the shared folder and read again. What a stage wrote on its
+    way, and the documents it read, are deleted once its own result is written."""
+    docs, begin = _base.read(spark, sf_dir, "documents"), _base.mark()
+    for name, stage in STAGES[:-1]:
+        docs = _base.materialize(stage(spark, docs, sf_dir), name)
+        _base.release(begin, keep=(docs,))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,19 +6,29 @@ s_k = sum_d r_d n_d p_dk meet the targets T_k: projected gradient on the whitene
 || M^(1/2) (s - T) ||^2, from r = 1, each step r <- max(0, r - p_d . M (s - T)) with M = (sum n_d p_d p_d^T)^-1 over the
 documents whose rate is not 0. The whitening makes 1 the right step length. A document's rate is a function of its posterior and of the steps so far, so no
 per-document state is kept: each iteration is one aggregate over the narrow posterior table, and the driver holds K
-sums and a K x K matrix. The rate is turned into whole copies by floor(rate + u), u a hash of doc_id and text.
-
-Training reads at most ``TRAIN_ROWS`` labelled rows (documented bound, smallest hashes of doc_id); posteriors, totals
-and rates cover all documents.
-
-Defined results: null and empty texts have no tokens and the posterior of an empty text; labels with a null are ignored; with
-no labels every document is half ``clean``; a target that cannot be met (no mass in a domain)
-leaves the least-squares residual; an empty table gives an empty result. Repeated rows are documents each. Extra
-columns pass through; inner names are prefixed.
+sums and a K x K matrix.
+
+A rate becomes its whole part plus one more copy where u, a hash of doc_id and text, reaches 1 - fraction - shift. The
+shift of each domain (that of the largest posterior) brings the copies' totals near the targets, so that few long
+documents do not carry them off: one aggregate sums what the documents add by the bin of the shift from which they do,
+and the shifts are then chosen domain by domain. ``mixed_report`` returns targets, expected and realised totals; a miss
+of the expected ones is logged.
+
+Training reads at most ``TRAIN_ROWS`` labelled ids and texts and ``TRAIN_BYTES`` of text (documented bounds, smallest
+hashes, each distinct text of an id once); posteriors, totals and rates cover all documents. The weights enter the plan
+as one array literal per domain, in full precision.
+
+Defined results: null and empty texts have no tokens and the posterior of an empty text; very long texts are read whole;
+labels with a null are ignored; with no labels every document is half ``clean``; a target that cannot be met (no mass in
+a domain) leaves the least-squares residual; equal posteriors get equal rates; an empty table gives an empty result.
+Repeated rows are documents each, with as many copies each. Extra columns pass through whatever their names, but where
+one is named like a result of ``mixed``, the result stands.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +40,7 @@ DOMAINS = ("low", "clean", "toxic")
 #: Wanted share of tokens per domain; the total is such that the clean share equals what there is.
 SHARES = {"low": 0.02, "clean": 0.97, "toxic": 0.01}
 TRAIN_ROWS = 12_000
+TRAIN_BYTES = 64 << 20
 BUCKETS = 1 << 16
 #: Summed word weights are divided by this power of the number of distinct words.
 DAMP = 0.25
@@ -37,6 +48,13 @@ ROUNDS = 40
 TOLERANCE = 1e-5
 #: Rates this close to a whole number count as it.
 SNAP = 1e-3
+#: Part of the largest target by which the expected totals may miss theirs unlogged.
+CLOSE = 2e-3
+#: Bins of the shifts from -1 to 1, and what a shift costs against squared relative misses.
+BINS = 4096
+STIFF = 1e-4
+RESULTS = ("_n", "_u", *(f"_p{k}" for k in range(len(DOMAINS))), "_rate", "_copies")
+_log = logging.getLogger(__name__)
 
 
 def tokens_of(text: Column) -> Column:
@@ -65,9 +83,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 0).otherwise(1)
     rows = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     rows = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max(domain).alias("_k")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    seen = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(rows), "_id")
+    seen = _base.labelled_texts(docs, rows, bound, TRAIN_BYTES)
     # copies count once, lest a document repeated a hundred times decide what marks its domain
-    seen = seen.groupBy(F.md5("_text").alias("_m")).agg(F.max("_k").alias("_k"), F.min("_text").alias("_text"))
+    seen = seen.groupBy("_m").agg(F.max("_k").alias("_k"), F.min("_text").alias("_text"))
     got = seen.select("_m", "_k", F.concat_ws(",", buckets_of(tokens_of(F.col("_text")), F.col("_text"))).alias("_b")).orderBy("_m").collect()
     cols = [np.array(r["_b"].split(","), np.int64) for r in got]
     begin = np.append(0, np.cumsum([len(c) for c in cols])).astype(np.int64)
@@ -124,12 +142,12 @@ def fit_softmax(begin: np.ndarray, cols: np.ndarray, y: np.ndarray, epochs: int
     return {"w": w, "b": bias, "t": best}
 
 
-def memberships(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with _n (words) and _p0.. (posteriors)."""
+def memberships(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """``docs``, whose own columns must not begin like a result, with _n (words) and _p0.. (posteriors)."""
     base = 1  # log odds against the clean domain
 
     def table(x: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(f"{v:.3g}" for v in x)), ",").cast("array<double>")
+        return F.split(F.lit(",".join(repr(float(v)) for v in x)), ",").cast("array<double>")
 
     def log_odds(k: int) -> Column:
         weight, shift = model["t"] * (model["w"][:, k] - model["w"][:, base]), float(model["t"] * (model["b"][k] - model["b"][base]))
@@ -140,8 +158,8 @@ def memberships(docs: DataFrame, model: dict) -> DataFrame:
     for k in range(len(DOMAINS)):
         if k != base:
             logit[k] = log_odds(k)
-    out = docs.withColumn("_w", tokens_of(F.col("text")))
-    out = out.withColumns({"_n": F.size("_w").cast("double"), "_b": buckets_of(F.col("_w"), F.col("text"))}).drop("_w")
+    out = docs.withColumn("_w", tokens_of(F.col(text)))
+    out = out.withColumns({"_n": F.size("_w").cast("double"), "_b": buckets_of(F.col("_w"), F.col(text))}).drop("_w")
     # exp(min(x, 500)) keeps the sum finite; a posterior below 1e-217 is 0 in effect
     out = out.withColumns({f"_e{k}": F.exp(F.least(c, F.lit(500.0))) for k, c in logit.items()} | {f"_e{base}": F.lit(1.0)})
     total = sum((F.col(f"_e{k}") for k in range(len(DOMAINS))), F.lit(0.0))
@@ -158,10 +176,14 @@ def rate_of(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit(members: DataFrame, targets: np.ndarray | None = None, shares: dict | None = None, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Steps of projected gradient over the posterior table."""
+def _posteriors() -> list[Column]:
+    return [F.col(f"_p{k}") for k in range(len(DOMAINS))]
+
+
+def fit(members: DataFrame, targets: np.ndarray | None = None, shares: dict | None = None, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps of projected gradient over the posterior table, the targets, and the expected totals after the steps."""
     k = range(len(DOMAINS))
-    p, n = [F.col(f"_p{i}") for i in k], F.col("_n")
+    p, n = _posteriors(), F.col("_n")
 
     def measured(rate: Column) -> tuple[np.ndarray, np.ndarray]:
         """Expected domain totals, and the Gram matrix of the documents that still have a rate."""
@@ -181,19 +203,76 @@ def fit(members: DataFrame, targets: np.ndarray | None = None, shares: dict | No
             break
         steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap)
         total, gram = measured(rate_of(steps))
-    return steps
+    return steps, targets, total
+
+
+def copies_of(rate: Column, shift: Column) -> Column:
+    """Whole copies of a rate: one more than its whole part where the document's hash reaches what its fraction and the shift leave."""
+    whole = F.floor(rate)
+    return (whole + F.when((rate > whole) & (F.col("_u") + shift >= 1 - (rate - whole)), 1).otherwise(0)).cast("int")
+
+
+def _domain() -> Column:
+    """Number of the largest posterior, the first of equal ones."""
+    p = F.array(*_posteriors())
+    return F.array_position(p, F.array_max(p)).cast("int") - 1
+
+
+def _shift(shifts: np.ndarray) -> Column:
+    return F.get(F.array(*[F.lit(float(x)) for x in shifts]), _domain())
+
+
+def rounded(members: DataFrame, rate: Column, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shift of each domain that brings the copies' totals nearest to the targets, and those totals."""
+    k, n = len(DOMAINS), F.col("_n")
+    rated = members.select("_n", "_u", *_posteriors(), rate.alias("_r"), _domain().alias("_k"))
+    whole = F.floor("_r")
+    # a document adds a copy from the shift 1 - fraction - u on; whole rates never do
+    at = F.when(F.col("_r") > whole, F.ceil((2 - (F.col("_r") - whole) - F.col("_u")) * (BINS / 2))).cast("int")
+    sums = [F.sum(whole * n * p).alias(f"w{i}") for i, p in enumerate(_posteriors())] + [F.sum(n * p).alias(f"t{i}") for i, p in enumerate(_posteriors())]
+    base, adds = np.zeros(k), np.zeros((k, BINS + 2, k))
+    for r in rated.groupBy("_k", at.alias("_b")).agg(*sums).collect():
+        base += [r[f"w{i}"] or 0 for i in range(k)]
+        if r["_b"] is not None:
+            adds[r["_k"], min(r["_b"], BINS + 1)] += [r[f"t{i}"] or 0 for i in range(k)]
+    total = adds.cumsum(1)[:, : BINS + 1]  # by domain and shift
+    shift = np.linspace(-1, 1, BINS + 1)
+    scale, best = np.maximum(targets, 1e-12), np.full(k, BINS // 2)
+    for _ in range(20):
+        old = best.copy()
+        for j in range(k):
+            rest = base + sum(total[i, best[i]] for i in range(k) if i != j)
+            miss = (((rest + total[j] - targets) / scale) ** 2).sum(1) + STIFF * shift**2
+            best[j] = int(miss.argmin())
+        if (old == best).all():
+            break
+    return shift[best], base + sum(total[i, best[i]] for i in range(k))
 
 
-def mixed(docs: DataFrame, model: dict, narrow: tuple[str, ...] | None = None, targets: np.ndarray | None = None, shares: dict | None = None) -> DataFrame:
-    """``docs`` (or its ``narrow`` columns) with _n, posteriors, _rate and _copies."""
-    salt = F.xxhash64("doc_id", "text")
-    members = memberships(docs, model).withColumn("_u", F.pmod(salt, F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    if narrow is not None:
-        members = members.select(*narrow, "_n", "_u", *[f"_p{i}" for i in range(len(DOMAINS))])
-    members = _base.materialize(members, "members")
-    rate = rate_of(fit(members, targets, shares))
+def _mixed(inner: DataFrame, model: dict, doc_id: str, text: str, keep: list[str], targets: np.ndarray | None, shares: dict | None) -> tuple[DataFrame, dict]:
+    """The ``keep`` columns of ``inner`` with ``RESULTS``, and the report."""
+    members = memberships(inner, model, text).withColumn("_u", F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    members = _base.materialize(members.select(*keep, "_n", "_u", *_posteriors()), "members")
+    steps, targets, expected = fit(members, targets, shares)
+    if np.abs(expected - targets).max() > CLOSE * max(targets.max(), 1e-12):
+        _log.warning("targets %s not met: expected totals are %s after %d steps", targets.round(), expected.round(), len(steps))
+    rate = rate_of(steps)
     rate = F.when(F.abs(rate - F.round(rate)) <= SNAP, F.round(rate)).otherwise(rate)
-    return members.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + F.col("_u")).cast("int"))
+    shifts, realised = rounded(members, rate, targets)
+    out = members.withColumn("_rate", rate).withColumn("_copies", copies_of(F.col("_rate"), _shift(shifts)))
+    return out.select(*keep, *RESULTS), {"targets": targets, "expected": expected, "realised": realised, "shifts": shifts}
+
+
+def mixed_report(docs: DataFrame, model: dict, narrow: tuple[str, ...] | None = None, targets: np.ndarray | None = None, shares: dict | None = None) -> tuple[DataFrame, dict]:
+    """``docs`` (or its ``narrow`` columns) with words, posteriors, rate and copies; and targets, expected and realised totals by domain."""
+    inner, at = _base.plain(docs)
+    keep = [c for c in narrow or docs.columns if c not in RESULTS]
+    out, report = _mixed(inner, model, at["doc_id"], at["text"], [at[c] for c in keep], targets, shares)
+    return out.withColumnsRenamed({at[c]: c for c in keep}), report
+
+
+def mixed(docs: DataFrame, model: dict, narrow: tuple[str, ...] | None = None, targets: np.ndarray | None = None, shares: dict | None = None) -> DataFrame:
+    return mixed_report(docs, model, narrow, targets, shares)[0]
 
 
 def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +284,10 @@ def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says, in the columns of ``docs``."""
     model = learn(_base.read(spark, sf_dir, "documents"), _base.read(spark, sf_dir, "labels"))
-    out = mixed(docs, model)
+    inner, at = _base.plain(docs)
+    out, _ = _mixed(inner, model, at["doc_id"], at["text"], inner.columns, None, None)
     out = out.filter("_copies > 0").withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-    return out.select(*docs.columns)
+    return out.select(*inner.columns).toDF(*docs.columns)
 
 
 QUERIES = {"op6_soft_membership_mixing": op6_soft_membership_mixing}
