@@ -201,6 +201,17 @@ def test_trie_counts_equal_plain_dynamic_program(docs, odd, none):
     assert token_counts.counted(none).count() == 0 and token_counts.counted(odd).count() == len(ODD)
 
 
+def test_trie_scores_each_prefix_once():
+    path = token_counts.default_path()
+    trie, made = token_counts.Trie(path), []
+    forward = trie._forward
+    trie._forward = lambda word, j, *rest: made.append(word[:j]) or forward(word, j, *rest)
+    words = ["interested", "interest", "interesting", "interests", "in", "x" * 300, "x" * 299, "ünïcode中文"]
+    assert token_counts.counts_of(words, trie) == [_plain_count(w, path) for w in words]
+    short = [p for p in made if len(p) <= token_counts.DEPTH]
+    assert len(short) == len(set(short)) == len(trie.best) - 1 and token_counts.counts_of(["interest", ""], trie) == [_plain_count("interest", path), 0]
+
+
 # -- quality ------------------------------------------------------------------------------------------------------
 
 
