@@ -15,8 +15,8 @@ and the shifts are then chosen domain by domain. ``mixed_report`` returns target
 of the expected ones is logged.
 
 Training reads at most ``TRAIN_ROWS`` labelled ids and texts and ``TRAIN_BYTES`` of text (documented bounds, smallest
-hashes, each distinct text of an id once); posteriors, totals and rates cover all documents. The weights enter the plan
-as one array literal per domain, in full precision.
+hashes, each distinct text of an id once); posteriors, totals and rates cover all documents. The weights are
+fixed-point numbers and enter the plan as one array literal per domain, exactly.
 
 Defined results: null and empty texts have no tokens and the posterior of an empty text; very long texts are read whole;
 labels with a null are ignored; with no labels every document is half ``clean``; a target that cannot be met (no mass in
@@ -42,6 +42,8 @@ SHARES = {"low": 0.02, "clean": 0.97, "toxic": 0.01}
 TRAIN_ROWS = 12_000
 TRAIN_BYTES = 64 << 20
 BUCKETS = 1 << 16
+#: Weights are multiples of 1 / FIXED, so that the plan holds them exactly, as whole numbers.
+FIXED = 1024
 #: Summed word weights are divided by this power of the number of distinct words.
 DAMP = 0.25
 ROUNDS = 40
@@ -86,10 +88,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict:
     seen = _base.labelled_texts(docs, rows, bound, TRAIN_BYTES)
     # copies count once, lest a document repeated a hundred times decide what marks its domain
     seen = seen.groupBy("_m").agg(F.max("_k").alias("_k"), F.min("_text").alias("_text"))
-    got = seen.select("_m", "_k", F.concat_ws(",", buckets_of(tokens_of(F.col("_text")), F.col("_text"))).alias("_b")).orderBy("_m").collect()
-    cols = [np.array(r["_b"].split(","), np.int64) for r in got]
-    begin = np.append(0, np.cumsum([len(c) for c in cols])).astype(np.int64)
-    return fit_softmax(begin, np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([r["_k"] for r in got], np.int64))
+    rows = seen.select("_m", "_k", F.concat_ws(",", buckets_of(tokens_of(F.col("_text")), F.col("_text"))).alias("_b")).orderBy("_m")
+    cols, kinds = [np.zeros(0, np.int32)], []
+    for r in rows.toLocalIterator():
+        cols.append(np.fromstring(r["_b"], np.int32, sep=","))
+        kinds.append(r["_k"])
+    begin = np.cumsum([len(c) for c in cols])
+    return fit_softmax(begin, np.concatenate(cols), np.array(kinds, np.int64))
 
 
 def raw_logits(w: np.ndarray, bias: np.ndarray, begin: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -134,7 +139,7 @@ def fit_softmax(begin: np.ndarray, cols: np.ndarray, y: np.ndarray, epochs: int
             w[u] -= rate * g / np.sqrt(g2[u])
             gb += p.sum(0) ** 2
             bias -= rate * p.sum(0) / np.sqrt(gb)
-    best = 1.0
+    best, w = 1.0, np.round(w * FIXED) / FIXED
     if len(out):
         z = raw_logits(w, bias, *_rows(begin, cols, out))
         loss = lambda t: -np.log(np.maximum(_probabilities(t * z)[np.arange(len(out)), y[out]], 1e-12)).mean()
@@ -147,12 +152,12 @@ def memberships(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     base = 1  # log odds against the clean domain
 
     def table(x: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(repr(float(v)) for v in x)), ",").cast("array<double>")
+        return F.split(F.lit(",".join(map(str, np.round(x * FIXED).astype(int).tolist()))), ",").cast("array<int>")
 
     def log_odds(k: int) -> Column:
-        weight, shift = model["t"] * (model["w"][:, k] - model["w"][:, base]), float(model["t"] * (model["b"][k] - model["b"][base]))
-        total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table(weight), b))
-        return total / F.pow(F.size("_b").cast("double"), F.lit(DAMP)) + shift
+        weight, shift = table(model["w"][:, k] - model["w"][:, base]), float(model["t"] * (model["b"][k] - model["b"][base]))
+        total = F.aggregate("_b", F.lit(0), lambda a, b: a + F.get(weight, b))
+        return total * F.lit(float(model["t"] / FIXED)) / F.pow(F.size("_b").cast("double"), F.lit(DAMP)) + shift
 
     logit = {}
     for k in range(len(DOMAINS)):
