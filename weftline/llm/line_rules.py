@@ -57,7 +57,8 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
     """Words inside windows of ``span`` words that occur twice or more in the list.
 
     Windows are hashed; a list whose window hashes are all distinct ends there. Otherwise equal windows are found by
-    sorting pairs of 64-bit hash and position.
+    sorting pairs of 64-bit hash and position. For up to a million words only those pairs are sorted that have a
+    neighbour when the upper 43 bits and the position are sorted as one long, as all equal windows have.
     """
 
     def covered(pos: Column) -> Column:
@@ -65,14 +66,20 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
         gaps = F.transform(pos, lambda p, i: F.when(i == F.size(pos) - 1, F.lit(span)).otherwise(F.least(F.lit(span), F.get(pos, i + 1) - p)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def twins(s: Column) -> Column:
-        same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-        hits = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-        return F.sort_array(F.transform(hits, lambda x: x["i"]))
+    def twins(s: Column, key) -> Column:
+        same = lambda a, b: F.coalesce(key(a) == key(b), F.lit(False))
+        return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+
+    def counted(pairs: Column) -> Column:
+        places = lambda s: F.sort_array(F.transform(twins(s, lambda x: x["h"]), lambda x: x["i"]))
+        return let(F.sort_array(pairs), lambda s: let(places(s), covered))
 
     def sorted_pairs(w: Column) -> Column:
-        pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(pairs, lambda s: let(twins(s), covered))
+        low, high = F.lit((1 << 21) - 1).cast("long"), F.lit(-(1 << 21)).cast("long")
+        pair = lambda i: F.struct(F.get(w, i).alias("h"), i.alias("i"))
+        packed = F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+        near = let(packed, lambda s: F.transform(twins(s, lambda x: F.shiftright(x, 21)), lambda x: pair(x.bitwiseAND(low).cast("int"))))
+        return F.when(F.size(w) < (1 << 20), counted(near)).otherwise(counted(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
     def of_hashes(h: Column) -> Column:
         window = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(span)])
