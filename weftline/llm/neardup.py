@@ -54,7 +54,7 @@ FLOOR = 0.1
 AGREE = 27
 SALT_ROWS = 256
 QUERY_BLOCK = 256
-MEMBER_BLOCK = 1024
+MEMBER_BLOCK = 256
 U = np.uint64
 
 
