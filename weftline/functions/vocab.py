@@ -28,6 +28,19 @@ ADDRESS_STOP = (
     "bengal", "pradesh", "mumbai", "bangalore", "chennai", "kolkata",
 )
 
+# fixed values
+NAME_STOP_SHORT = (
+    "the", "and", "for", "ltd", "pvt", "inc", "corp", "llc", "company", "limited", "private", "services", "solutions",
+    "enterprises",
+)
+
+# fixed values
+NAME_STOP_RARE = (
+    "private", "limited", "incorporated", "corporation", "company", "services", "enterprises", "associates",
+    "consultants", "industries", "international", "solutions", "technologies", "holdings", "management", "development",
+    "commercial", "general", "medical", "dental", "health", "center", "national", "global",
+)
+
 # fixed values
 BRAND_LEGAL = ("private", "limited", "incorporated", "corporation", "company", "llc", "llp", "services")
 
@@ -87,5 +100,7 @@ TRADE_PATTERN = r"(?i)\b(?:d/?b/?a|t/?a|trading as|doing business as|m/s\.?|c/o)
 FORMERLY_PATTERN = r"(?i)(?:formerly|aka|d/?b/?a|t/?a|c/?o)\s*:?\s*(.*)"
 # fixed values
 PLOT_PATTERN = r"(?:plot|door|flat|unit|h\.?no\.?|q\.?no\.?)\s*(?:no\.?)?\s*([a-z]?[0-9]+)"
+# fixed values: probability of a token-index pair by the tokens it shares, at least
+SHARED_PROBABILITY = ((4, 0.82), (3, 0.77), (2, 0.72))
 # fixed values: probability a deterministic rule or channel states
 RULE_PROBABILITY = {"R1": 0.9995, "R2": 0.9990, "R3": 0.9992, "R4": 0.9988, "R5": 0.9995, "R6": 0.9994, "R7": 0.95, "R8": 0.88, "R9": 0.85}

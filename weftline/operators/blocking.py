@@ -4,9 +4,11 @@ key on both sides -> optional key-frequency filters -> equi-join (usually with c
 fan-out cap -> distinct pairs. The caps keep their distinct meanings: ``cap`` drops a source-1 entity with more join
 rows than that altogether; ``freq23`` / ``freq1`` / ``freq_all`` keep keys by how often a side (or both) has them.
 
-The plan never builds the join that a cap would throw away: join rows per source-1 entity are the sum of its keys'
-counts on the other side, so entities over the cap are dropped before the pair join, and the join's output is at most
-cap rows per entity. The oracle states the plain form (join, count over, filter).
+For a channel whose cap counts join rows, the plan never builds the join that the cap would throw away: join rows per
+source-1 entity are the sum of its keys' counts on the other side, so entities over the cap are dropped before the pair
+join, and the join's output is at most cap rows per entity. Where the cap counts pairs after a test between the sides or
+of shared keys (``residual``, ``min_shared``), key counts cannot tell it and the join is built. The oracle states the
+plain form (join, count over, filter).
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ class Channel:
     min_shared: int | None = None
     cap: int | None = None
     prob: float | None = None
+    prob_by_shared: tuple[tuple[int, float], ...] = ()  # (shared keys at least, probability), most first
     unmatched: bool = False
     carry: tuple[tuple[str, X], ...] = ()
     residual: str | None = None
@@ -114,6 +117,10 @@ def pairs(entities: DataFrame, ch: Channel, matched: DataFrame | None = None) ->
         low = out.groupBy(FIRST).count().filter(F.col("count") <= ch.cap).select(FIRST)
         out = out.join(low, FIRST, "left_semi")
     out = out.distinct()
+    if ch.prob_by_shared:
+        least = ch.prob_by_shared[-1][1]
+        cases = " ".join(f"when shared >= {n} then {p}d" for n, p in ch.prob_by_shared)
+        return out.withColumn("probability", F.expr(f"case {cases} else {least}d end"))
     return out.withColumn("probability", F.lit(ch.prob)) if ch.prob is not None else out
 
 
@@ -192,6 +199,9 @@ def oracle(ch: Channel, entities_sql: str, matched_sql: str | None = None) -> st
         ctes.append(f"c as (select *, count(*) over (partition by {FIRST}) as fan from {source})")
         source = f"c where fan <= {ch.cap}"
     prob = f", {ch.prob}::double as probability" if ch.prob is not None else ""
+    if ch.prob_by_shared:
+        cases = " ".join(f"when shared >= {n} then {p}" for n, p in ch.prob_by_shared)
+        prob = f", (case {cases} else {ch.prob_by_shared[-1][1]} end)::double as probability"
     return f"with {', '.join(ctes)} select distinct {FIRST}, {OTHER}{shared}{prob} from {source}"
 
 

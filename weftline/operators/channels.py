@@ -114,14 +114,14 @@ def catalogue() -> list[Channel]:
         C("b39_name5_postal", (prefix(name_q, 5), postal), country=False, guards=(long(name_q, 5),), cap=15, entities=B),
         C("b39_name5_house", (prefix(name_q, 5), house), country=False, guards=(long(name_q, 5),), cap=15, entities=B),
         C("b41_sorted_brand_pair", (pair(at(sort(brand(3)), 1), at(sort(brand(3)), 2)),), cap=12),
-        C("b42_rare_address_token7", (at_,), exploded=0, token_guard=_token(7), freq23=(2, 15), freq_country=True, cap=12),
+        C("b42_rare_address_token7", (words(at_, 7, ASTOP),), exploded=0, freq23=(2, 15), cap=12),
         C("b43_house_postal56", (house, postal), country=False, cap=12, entities=B),
-        C("b44_two_shared_address_tokens", (at_,), exploded=0, token_guard=_token(7), freq23=(1, 60), freq_country=True, min_shared=2, cap=15),
-        C("b45_rare_address_token6", (at_,), exploded=0, token_guard=_token(6), freq23=(2, 25), freq_country=True, cap=12),
+        C("b44_two_shared_address_tokens", (words(at_, 7, ASTOP),), exploded=0, min_shared=2, cap=15),
+        C("b45_rare_address_token6", (words(at_, 6, ASTOP),), exploded=0, freq23=(2, 25), cap=12),
         C("b46_token_prefix_pair", (pair(at(prefixes, 1), at(prefixes, 2)),), cap=12),
         C("b47_first_two_brand", (pair(at(brand(3), 1), at(brand(3), 2)),), guards=(long(pair(at(brand(3), 1), at(brand(3), 2)), 7),), cap=15),
         C("b48_house_street8", (house, prefix(same("letters"), 8)), guards=(long(same("letters"), 8),), cap=12, entities=B),
-        C("b49_rare_address_token5", (at_,), exploded=0, token_guard=_token(5), freq23=(2, 10), freq_country=True, cap=12),
+        C("b49_rare_address_token5", (words(at_, 5, ASTOP),), exploded=0, freq23=(2, 10), cap=12),
         C("b50_clean_first", (at(brand(4), 1),), cap=15),
         C("b51_unit_word", (unit, at(places(5), 1)), guards=(long(unit, 2),), cap=12, entities="customers"),
         C("b52_street_pair_initial", (pair(at(places(3), 1), at(places(3), 2)), prefix(name_a, 1)), guards=(long(pair(at(places(3), 1), at(places(3), 2)), 8),), cap=12),
@@ -145,17 +145,17 @@ def catalogue() -> list[Channel]:
         C("b70_top_two_address", (top_two(5),), cap=15),
         C("b71_first_two_words", (pair(at(brand(2), 1), at(brand(2), 2)),), cap=20),
         C("b71_first_two_unordered", (unordered(at(brand(2), 1), at(brand(2), 2)),), cap=20),
-        C("b72_rare_address_word7", (places(7, ASTOP),), exploded=0, freq_all=(2, 15), cap=15),
-        C("b73_rare_prefix4", (prefix(name_a, 4),), guards=(long(name_a, 4),), freq_all=(2, 20), cap=15),
+        C("b72_rare_address_word7", (words(at_, 7),), exploded=0, freq_all=(2, 15), freq_country=True, cap=15),
+        C("b73_rare_prefix4", (prefix(name_a, 4),), guards=(long(name_a, 4),), freq_all=(2, 20), freq_country=True, cap=15),
         C("b74_house_postal", (house, postal), guards=(long(house, 2), long(postal, 4)), cap=15, entities=B),
-        C("b75_rare_word_no_address", (words(nt, 5, STOP),), exploded=0, freq_all=(2, 25), cap=15, guards=(same("addr_a in ('', 'none', 'nan')"),), guards1=(), entities="customers"),
-        C("b76_rare_address_word", (places(7, ASTOP),), exploded=0, freq_all=(2, 20), cap=15),
+        C("b75_rare_word_no_address", (words(nt, 5, vocab.NAME_STOP_RARE),), exploded=0, freq_all=(2, 25), freq_country=True, cap=15, guards=(same("addr_a in ('', 'none', 'nan')"),), guards1=(), entities="customers"),
+        C("b76_rare_address_word", (places(7, ASTOP),), exploded=0, freq_all=(2, 20), freq_country=True, cap=15),
         C("b77_sorted_address", (joined(sort(distinct(places(5, ASTOP))), "_"),), guards=(many(distinct(places(5, ASTOP)), 2),), cap=15),
-        C("b78_distinctive_name_token", (words(nt, 4, STOP),), exploded=0, freq23=(1, 15), freq_country=True, cap=15),
+        C("b78_distinctive_name_token", (distinct(words(nt, 5, vocab.NAME_STOP_SHORT)),), exploded=0, cap=15),
         # full-scale channels, keys also bounded on the first source
         C("b80_top_two_address", (top_two(5),), freq1=(1, 50), freq_country=True, cap=15),
         C("b81_house_locality", (house, places(6, ASTOP)), exploded=1, guards=(long(house, 1),), freq1=(1, 50), freq_country=True, cap=15, entities=B),
-        C("b82_address10", (prefix(addr_q, 10),), guards=(long(addr_q, 10),), freq1=(1, 50), freq_country=True, cap=15, unmatched=True),
+        C("b82_address10", (prefix(addr_a, 10),), guards=(long(addr_a, 10),), freq1=(1, 50), freq_country=True, cap=15, unmatched=True),
         C("b83_brand_word6", (words(nt, 6, STOP),), exploded=0, freq1=(1, 30), freq_country=True, cap=15, unmatched=True),
         C("b84_postal_name3", (postal, prefix(name_a, 3)), guards=(long(name_a, 3), long(postal, 5)), freq1=(1, 50), freq_country=True, cap=15, unmatched=True, entities=B),
         C("b85a_sorted_address", (top_two(5),), freq1=(1, 30), freq_country=True, cap=10, prob=0.75, unmatched=True),
@@ -163,7 +163,7 @@ def catalogue() -> list[Channel]:
         C("b85c_postal_name4", (postal, prefix(name_a, 4)), guards=(long(postal, 5), long(name_a, 4)), freq1=(1, 30), freq_country=True, cap=10, prob=0.70, unmatched=True, entities=B),
         C("b85d_address12", (prefix(addr_a, 12),), guards=(long(addr_a, 12),), freq1=(1, 20), freq_country=True, cap=10, prob=0.73, unmatched=True),
         C("b85e_brand_word7", (words(nt, 7, STOP),), exploded=0, freq1=(1, 20), freq_country=True, cap=10, prob=0.71, unmatched=True),
-        C("b86_token_index", (words(nt, 4, STOP),), exploded=0, freq23=(1, 200), freq_country=True, freq_distinct=True, min_shared=2, cap=15, unmatched=True),
+        C("b86_token_index", (words(nt, 4, STOP),), exploded=0, freq23=(1, 200), freq_country=True, freq_distinct=True, min_shared=2, cap=15, prob_by_shared=vocab.SHARED_PROBABILITY, unmatched=True),
         C("b87_ultra_rare_token", (words(nt, 6, STOP),), exploded=0, freq23=(1, 5), freq_country=True, freq_distinct=True, min_shared=1, cap=10, prob=0.80, unmatched=True),
         C("b88_postal_name5", (postal, prefix(name_a, 5)), guards=(long(postal, 5), long(name_a, 5)), freq1=(1, 20), freq_country=True, cap=10, prob=0.73, unmatched=True, entities=B),
         C("b88_house_name5", (house, prefix(name_a, 5)), guards=(long(name_a, 5),), freq1=(1, 20), freq_country=True, cap=10, prob=0.76, unmatched=True, entities=B),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import derive
 from ..operators import blocking, channels, resolve
 from ..sources import sinks, tables
+from . import channel_sql
 
 FIRST, OTHER, P = resolve.FIRST, resolve.OTHER, resolve.P
 DOCS, PARTS = tables.DUCK_ENTITIES["documents"], tables.DUCK_ENTITIES["parts"]
@@ -70,7 +71,9 @@ def _channel_query(group: list[blocking.Channel]):
         out = None
         for ch in group:
             e = tables.entities(spark, sf_dir, ch.entities)
-            rows = blocking.pairs(e, ch, matched(e) if ch.unmatched else None).select(F.lit(ch.name).alias("channel"), FIRST, OTHER)
+            rows = blocking.pairs(e, ch, matched(e) if ch.unmatched else None)
+            prob = F.col(P) if P in rows.columns else F.lit(None).cast("double").alias(P)
+            rows = rows.select(F.lit(ch.name).alias("channel"), FIRST, OTHER, prob)
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -78,7 +81,15 @@ def _channel_query(group: list[blocking.Channel]):
 
 
 def _channel_sql(group: list[blocking.Channel]) -> str:
-    one = lambda ch: f"select '{ch.name}' as channel, {FIRST}, {OTHER} from ({blocking.oracle(ch, tables.DUCK_ENTITIES[ch.entities], _matched_sql(ch.entities) if ch.unmatched else None)})"
+    def one(ch: blocking.Channel) -> str:
+        done = _matched_sql(ch.entities) if ch.unmatched else None
+        if ch.name in channel_sql.BY_HAND:
+            body = channel_sql.BY_HAND[ch.name](tables.DUCK_ENTITIES[ch.entities], done)
+        else:
+            body = blocking.oracle(ch, tables.DUCK_ENTITIES[ch.entities], done)
+        stated = ch.name in channel_sql.BY_HAND or ch.prob is not None or ch.prob_by_shared
+        return f"select '{ch.name}' as channel, {FIRST}, {OTHER}, {P if stated else f'null::double as {P}'} from ({body})"
+
     return " union all ".join(map(one, group))
 
 
