@@ -148,12 +148,39 @@ def test_streamed_entities_evict_weaker_claims(spark, tmp_path):
     def arrive(name, line):
         (folder / name).write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + line)
         incremental.start(incremental.arriving(spark, str(folder)), others, claims, state, str(tmp_path / "cp")).awaitTermination()
-        return rows(spark.read.parquet(f"{state}/current"))
+        return rows(incremental.current(spark, state))
 
     assert arrive("a.tsv", "S1-1\tapple pie\t9 lane\tus\n") == [("S1-1", "S2-1", 0.5)]
     assert arrive("b.tsv", "S1-2\tapple tree\t1 road\tus\n") == [("S1-2", "S2-1", 0.9995)]
 
 
+def test_a_repeated_batch_gives_the_same_assignments(spark, tmp_path):
+    from weftline.streaming import incremental
+
+    state = str(tmp_path / "state")
+    others = spark.createDataFrame([("S2-1", "apple tree", "1 road", "us")], tables.ENTITY)
+    claims = lambda e: blocking.pairs(e, channels.by_name()["r1_name_address"])
+    one, two = (spark.createDataFrame([(i, "apple tree", "1 road", "us")], tables.ENTITY) for i in ("S1-5", "S1-3"))
+    assert incremental.current(spark, state) is None
+    for batch, new in ((0, one), (1, two), (1, two), (2, one), (3, one)):
+        incremental.resolve_batch(new, others, claims, state, batch)
+    (tmp_path / "state" / "v=9").mkdir()  # a version whose writer never committed
+    assert rows(incremental.current(spark, state).select(FIRST)) == [("S1-3",)] and incremental._versions(spark, state) == [2, 3]
+
+
+def test_scripts_are_read_by_their_letters_names():
+    cases = {"राजा": "raja", "कमल": "kamala", "Москва": "moskva", "Αθηνα": "athena", "é ß": "e ss", "१२": "12", "中": "", "plain": "plain"}
+    assert {k: normalize.fold(k).lower() for k in cases} == cases
+
+
+def test_closure_reaches_identical_records_once(spark):
+    e = spark.createDataFrame([(f"S2-{k}", "n", "a", "us") for k in range(5)] + [("S3-1", "m", "a", "us"), ("S3-2", "", "", "us"), ("S3-3", "", "", "us")], "entity_id string, name string, addr string, country string")
+    classes = resolve.identical_records(e)
+    assert rows(classes) == [(f"S2-{k}", "S2-0") for k in range(5)]
+    matches = spark.createDataFrame([("S1-1", "S2-3"), ("S1-1", "S2-4"), ("S1-2", "S3-1")], f"{FIRST} string, {OTHER} string")
+    assert rows(resolve.one_hop_closure(matches, classes)) == [*[("S1-1", f"S2-{k}") for k in range(5)], ("S1-2", "S3-1")]
+
+
 def _normal(pdf):
     def cell(v):
         if v is None or v != v:

@@ -92,6 +92,18 @@ SCRIPT_ALIASES = (
 HOUSE_PATTERN = r"(?:^|#|\bno\.?|\bplot\.?|\bflat\.?|\bunit\s*)\s*(\d+[a-z]?)"
 # fixed values
 POSTAL_PATTERN = r"\b(\d{5,6})\b"
+# fixed values: web addresses, domain endings, phone numbers and id tags that a full normal form drops
+SCRUBBED_PATTERNS = (
+    r"(?i)https?://\S+|www\.\S+",
+    r"(?i)\.(?:com|org|net|co|in|us|fr|gov|edu|info|biz)\b",
+    r"(?:-\s*\d{7,}|\b\d{10}\b|#\d{5,})",
+)
+# fixed values: honorific and trading prefixes of a name
+HONORIFIC_PATTERN = r"^(?:shri|sri|sree|m\s*s|dr|prof)\s+"
+# fixed values
+TRADING_PATTERN = r"^(?:d\s*b\s*a|t\s*a|trading\s+as)\s+"
+# fixed values: a house number after its mark, in a full normal form
+MARKED_HOUSE_PATTERN = r"(?:^|#|plot\s*no\.?|q\.?no\.?|flat\s*no\.?|unit\s*)\s*(\d+[a-zA-Z]?)"
 # fixed values
 UNIT_PATTERN = r"(?:unit|plot|flat|shop|room|floor)\s+([a-z0-9]+)"
 # fixed values

@@ -88,6 +88,26 @@ def threshold_grid(scored: DataFrame, truth: DataFrame, spine: DataFrame, grid:
     return means.select(F.inline("m"))
 
 
+def source_threshold_grid(scored: DataFrame, truth: DataFrame, spine: DataFrame, grid: list[float], beta: float = 0.5) -> DataFrame:
+    """Macro F for each pair of thresholds, one for candidates of the second source and one for the others.
+
+    Conditional sums per entity, source and threshold in one pass; a pair's counts are the sums of its two sides."""
+    t = truth.select(*KEYS).distinct().withColumn("_t", F.lit(1))
+    rows = scored.select(*KEYS, "probability").join(t, KEYS, "left").withColumn("_t", F.coalesce("_t", F.lit(0)))
+    second = F.col(KEYS[1]).startswith("S2-")
+    sides = (("a", second), ("b", ~second))
+    sums = [F.sum(((F.col("probability") >= g) & own).cast("int") * x).alias(f"{s}{n}{i}") for s, own in sides for i, g in enumerate(grid) for n, x in (("p", F.lit(1)), ("h", F.col("_t")))]
+    actual = t.groupBy(FIRST).agg(F.count(F.lit(1)).alias("actual"))
+    whole = spine.select(FIRST).distinct().join(rows.groupBy(FIRST).agg(*sums), FIRST, "left").join(actual, FIRST, "left").na.fill(0)
+    both = lambda n, i, j: F.col(f"a{n}{i}") + F.col(f"b{n}{j}")
+    cells = [
+        F.struct(F.lit(float(g)).alias("s2_threshold"), F.lit(float(k)).alias("s3_threshold"), F.avg(f_beta(both("h", i, j), both("p", i, j), F.col("actual"), beta)).alias("macro_f"))
+        for i, g in enumerate(grid)
+        for j, k in enumerate(grid)
+    ]
+    return whole.agg(F.array(*cells).alias("m")).select(F.inline("m"))
+
+
 def validation(results: DataFrame, spine: DataFrame, others: DataFrame) -> DataFrame:
     """Checks of a result in list form, as named counts of violations: rows missing, rows too many, repeated entities,
     repeated ids in a list, ids unknown to the other sources, candidates claimed twice."""

@@ -91,6 +91,7 @@ CATALOGUE = {
     "base": base, "rescue_one": rescue_one, "colocation_guard": colocation_guard, "containment_rescue": containment_rescue,
     "acronym_rescue": acronym_rescue, "final": final, "rescue_two": rescue_two, "anti_merge": anti_merge,
     "anti_merge_by_address": anti_merge_by_address,
+    **{f"branch_disambiguation_{t}": (lambda t=t: branch_disambiguation(t / 100)) for t in (30, 40, 50)},
 }
 
 

@@ -57,17 +57,20 @@ def singleton_shield(claims: DataFrame, least: float = 0.95, spared: Column | No
     return claims.withColumn("_weak", weak & ~spared if spared is not None else weak).filter("not _weak").drop("_weak")
 
 
-def one_hop_closure(matches: DataFrame, twins: DataFrame) -> DataFrame:
-    """Matches plus the twins (a, b: identical records) of matched candidates, in both directions."""
-    both = twins.select("a", "b").unionByName(twins.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reached = matches.join(both, F.col(OTHER) == F.col("a")).select(FIRST, F.col("b").alias(OTHER))
+def one_hop_closure(matches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Matches plus all records identical to a matched candidate. ``classes``: entity_id, class_id."""
+    held = matches.join(classes.select(F.col("entity_id").alias(OTHER), "class_id"), OTHER).select(FIRST, "class_id").distinct()
+    reached = held.join(classes.select("class_id", F.col("entity_id").alias(OTHER)), "class_id").select(FIRST, OTHER)
     return matches.select(FIRST, OTHER).unionByName(reached).distinct()
 
 
 def identical_records(entities: DataFrame) -> DataFrame:
-    """(a, b) with a < b of equal non-empty name, address and country."""
-    e = entities.filter("name <> '' and addr <> ''").select("entity_id", "name", "addr", "country")
-    return e.alias("x").join(e.alias("y"), ["name", "addr", "country"]).filter("x.entity_id < y.entity_id").select(F.col("x.entity_id").alias("a"), F.col("y.entity_id").alias("b"))
+    """(entity_id, class_id): members of each group of equal non-empty name, address and country that has two or more;
+    the smallest id names it. A group of n records takes n rows, not n * n pairs."""
+    e = entities.filter("name <> '' and addr <> '' and country is not null").select("entity_id", "name", "addr", "country")
+    keys = ["name", "addr", "country"]
+    groups = e.groupBy(*keys).agg(F.min("entity_id").alias("class_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return e.join(groups, keys).select("entity_id", "class_id")
 
 
 def ensure_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:

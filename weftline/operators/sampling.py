@@ -40,8 +40,8 @@ def capped(rows: DataFrame, positives: int = 3, negatives: int = 5) -> DataFrame
 
 
 def colocated_negatives(entities: DataFrame, truth: DataFrame, n: int, seed: int, least: int = 15) -> DataFrame:
-    """Pairs at one long address that are no match: the hard negatives. Busy addresses are met through the pair count,
-    as an address with very many entities on both sides says little."""
+    """``n`` pairs at one long address that are no match: the hard negatives, drawn by hash. All pairs at an address take
+    part, so an address with very many entities on both sides is dear; only the ``n`` best of each task leave it."""
     e = entities.filter(F.char_length("addr") >= least).select("entity_id", "addr", "country")
     first = F.col("entity_id").startswith("S1-")
     a = e.filter(first).withColumnRenamed("entity_id", "source1_entity_id")

@@ -101,7 +101,8 @@ _TWINS = f"""select x.entity_id as a, y.entity_id as b from d x join d y on x.na
   where x.entity_id < y.entity_id and x.name <> '' and x.addr <> '' and not starts_with(x.entity_id, 'S1-') and not starts_with(y.entity_id, 'S1-')"""
 
 
-@query(f"with d as ({derive.duck_select(f'({c.DOCS})')}) {_TWINS}")
+@query(f"""with d as ({derive.duck_select(f'({c.DOCS})')}), g as (select entity_id, min(entity_id) over w as class_id, count(*) over w as n from d
+  where not starts_with(entity_id, 'S1-') and name <> '' and addr <> '' and country is not null window w as (partition by name, addr, country)) select entity_id, class_id from g where n > 1""")
 def identical_records(spark, sf_dir):
     e = derive.with_columns(tables.entities(spark, sf_dir), ("name", "addr"))
     return resolve.identical_records(tables.sides(e)[1])
@@ -125,7 +126,7 @@ def new_pairs(spark, sf_dir):
     return resolve.delta(blocking.pairs(e, c.CH["r4_address_name3"]), blocking.pairs(e, c.CH["r3_address_name8"]))
 
 
-_UNION = [f"b{i:02d}_" for i in (1, 3, 6, 8)]
+_UNION = [f"b{i:02d}_" for i in range(1, 10)]
 _BLOCKS = [n for n in c.CH if any(n.startswith(p) for p in _UNION)]
 
 
@@ -135,6 +136,21 @@ def union_of_blocks(spark, sf_dir):
     return sets.union_distinct([blocking.pairs(e, c.CH[n]).select(FIRST, OTHER) for n in _BLOCKS])
 
 
+#: Frequency blocks that a later generation adds to the first nine.
+_FREQUENT = ("b16_country_name3_freq10", "b16_country_first_freq10", "b16_country_name4_freq10", "b16_house_address5_freq10")
+
+
+@query(" union ".join(f"select {FIRST}, {OTHER} from ({blocking.oracle(c.CH[n], tables.DUCK_ENTITIES['parts'])})" for n in _FREQUENT))
+def union_of_frequency_blocks(spark, sf_dir):
+    e = tables.entities(spark, sf_dir, "parts")
+    return sets.union_distinct([blocking.pairs(e, c.CH[n]).select(FIRST, OTHER) for n in _FREQUENT])
+
+
+@query(f"select count(*) as pairs, count(distinct {FIRST}) as first_entities, count(distinct {OTHER}) as other_entities from (select distinct {FIRST}, {OTHER} from ({CLAIMS}))")
+def distinct_pair_count(spark, sf_dir):
+    return _claims(spark, sf_dir).select(FIRST, OTHER).distinct().agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct(FIRST).alias("first_entities"), F.countDistinct(OTHER).alias("other_entities"))
+
+
 @query(f"""with a as (select k0, co, count(distinct id) as n from ({blocking._keyed_sql(c.CH['b20_containment'], True)}) group by all),
   b as (select k0, co, count(distinct id) as n from ({blocking._keyed_sql(c.CH['b20_containment'], False)}) group by all)
   select sum(a.n * b.n)::bigint as candidates, count(*) as shared_keys from a join b using (k0, co)""".replace("from d where", f"from ({derive.duck_select(f'({c.DOCS})')}) where"))
@@ -224,6 +240,16 @@ def threshold_grid(spark, sf_dir):
     return evaluate.threshold_grid(injective_by_probability(spark, sf_dir), truth(spark, sf_dir), spine(spark, sf_dir), list(_GRID))
 
 
+_SOURCE_GRID = (0.4, 0.9, 0.9992)
+
+
+@query(" union all ".join(f"""select {a}::double as s2_threshold, {b}::double as s3_threshold, (with {_each_sql(f"select * from ({RESOLVED}) where probability >= case when starts_with({OTHER}, 'S2-') then {a} else {b} end")}
+  select avg({_F})::double from n) as macro_f""" for a in _SOURCE_GRID for b in _SOURCE_GRID))
+def source_threshold_grid(spark, sf_dir):
+    """Macro F for each pair of thresholds of the second and the third source."""
+    return evaluate.source_threshold_grid(injective_by_probability(spark, sf_dir), truth(spark, sf_dir), spine(spark, sf_dir), list(_SOURCE_GRID))
+
+
 @query("select * from (values ('missing_rows', 0::bigint), ('unknown_rows', 0), ('repeated_entities', 0), ('repeated_ids', 0), ('unknown_ids', 0), ('shared_candidates', 0)) v(\"check\", n)")
 def validated_results(spark, sf_dir):
     e = tables.entities(spark, sf_dir)

@@ -139,6 +139,7 @@ _GATES = {
     "anti_merge": f"{_N} >= 0.4 or name_acronym_match = 1 or {_P} >= 0.998",
     "anti_merge_by_address": f"{_N} >= 0.8 or ({_N} >= 0.4 and {_A} >= 0.5) or name_acronym_match = 1",
 }
+_GATES |= {f"branch_disambiguation_{t}": f"not ({_N} >= 0.85 and {_A} < 0.{t})" for t in (30, 40, 50)}
 _GATES["final"] = f"((({_GATES['base']}) or ({_GATES['rescue_one']})) and ({_GATES['colocation_guard']})) or ({_GATES['containment_rescue']}) or ({_GATES['acronym_rescue']})"
 
 
@@ -168,6 +169,39 @@ def rescue_volumes(spark, sf_dir) -> DataFrame:
     return _scored(spark, sf_dir).agg(*[F.count_if(g).alias(n) for n, g in gates.rescues().items()])
 
 
+_CROSSED = {
+    "name_address_ratio_mean": f"({_N} + {_A}) / 2", "name_address_ratio_product": f"{_N} * {_A}", "name_address_harmonic": f"2 * {_N} * {_A} / ({_N} + {_A} + 1e-6)",
+    "name_postal_cross": f"{_N} * postal_exact", "name_house_cross": f"{_N} * house_match", "strong_name_address": f"({_N} >= 0.9 and {_A} >= 0.7)::int",
+    "strong_name_house": f"({_N} >= 0.9 and house_match = 1)::int", "strong_name_postal": f"({_N} >= 0.9 and postal_exact = 1)::int",
+    "name_gate_40": f"({_N} >= 0.4 or name_token_jaccard >= 0.35 or name_acronym_match = 1)::int", "name_gate_60": f"({_N} >= 0.6 or name_token_jaccard >= 0.5)::int",
+    "addr_gate_50": f"({_A} >= 0.5 or house_match = 1 or postal_exact = 1)::int",
+}
+
+
+@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"round(({x})::double, 9) as {n}" for n, x in _CROSSED.items()) + " from s")
+def crossed_features(spark, sf_dir) -> DataFrame:
+    """The eleven crossed features, on the stand-in alignments."""
+    alike = _scored(spark, sf_dir).withColumns({n: F.round(F.col(n), 9) for n in (_N, _A)})
+    return features.crossed(alike).select(FIRST, OTHER, *[F.round(F.col(n).cast("double"), 9).alias(n) for n in _CROSSED])
+
+
+_BLEND = {"even": 0.5, "leaning": 0.6}
+
+
+@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"round({_P} * {w} + {_N} * (1 - {w}), 6) as {n}" for n, w in _BLEND.items()) + " from s")
+def blended_scores(spark, sf_dir) -> DataFrame:
+    """Two scores blended evenly and six to four."""
+    return _scored(spark, sf_dir).select(FIRST, OTHER, *[F.round(gates.blend(_P, _N, w), 6).alias(n) for n, w in _BLEND.items()])
+
+
+@query(f"""with s as (select * from ({_SCORED_SQL}) where {_P} >= 0.92), k as (select *, count(*) over (partition by {FIRST}) as n from s)
+  select {FIRST}, {OTHER} from k where not (n = 1 and {_P} < 0.95 and {_N} < 0.5 and house_match <> 1)""")
+def singleton_shield_corroborated(spark, sf_dir) -> DataFrame:
+    """An entity's only match goes if it is not probable and neither name nor house number bears it out."""
+    borne = (F.col(_N) >= 0.5) | (F.col("house_match") == 1)
+    return resolve.singleton_shield(_scored(spark, sf_dir).filter(F.col(_P) >= 0.92), 0.95, borne).select(FIRST, OTHER)
+
+
 _LABEL_SQL = f"with t as (select distinct * from ({ev.TRUTH_SQL})), k as ({blocking.oracle(c.CH['b01_exact_name'], c.DOCS)}), l as (select k.{FIRST}, k.{OTHER}, (t.{FIRST} is not null)::int as label from k left join t using ({FIRST}, {OTHER}))"
 
 

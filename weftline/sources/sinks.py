@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_tsv(df: DataFrame, path: str, quoted: bool = True, mode: str = "overwrite") -> None:
-    """Tab-separated with header. Overwriting commits whole or not at all."""
+    """Tab-separated with header. Overwriting deletes the old files first; write to a new path where a reader must never find none."""
     writer = df.write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "")
     (writer if quoted else writer.option("quote", "").option("escapeQuotes", False)).csv(path)
 
