@@ -178,11 +178,11 @@ _CROSSED = {
 }
 
 
-@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"round(({x})::double, 9) as {n}" for n, x in _CROSSED.items()) + " from s")
+@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"floor(({x})::double * 1e6 + 3e-5)::bigint as {n}" for n, x in _CROSSED.items()) + " from s")
 def crossed_features(spark, sf_dir) -> DataFrame:
-    """The eleven crossed features, on the stand-in alignments."""
+    """The eleven crossed features in millionths, on the stand-in alignments; the shift keeps decimal ties off the edges."""
     alike = _scored(spark, sf_dir).withColumns({n: F.round(F.col(n), 9) for n in (_N, _A)})
-    return features.crossed(alike).select(FIRST, OTHER, *[F.round(F.col(n).cast("double"), 9).alias(n) for n in _CROSSED])
+    return features.crossed(alike).select(FIRST, OTHER, *[F.floor(F.col(n) * 1e6 + 3e-5).cast("long").alias(n) for n in _CROSSED])
 
 
 _BLEND = {"even": 0.5, "leaning": 0.6}
