@@ -66,6 +66,7 @@ class Trie:
     def __init__(self, path: str):
         self.scores, self.ends, self.miss = vocabulary(path)
         self.child: dict[int, int] = {}  # node and character -> node
+        self.terminal: dict[str, int] = {}  # pre-token -> count at its terminal node
         self.best, self.tokens = [0.0], [0]
 
     def _forward(self, word: str, j: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
@@ -86,7 +87,15 @@ class Trie:
         return top, n
 
     def count(self, word: str) -> int:
-        """Tokens of a pre-token (with mark); makes the nodes that its prefixes lack."""
+        """Tokens of a pre-token (without mark); makes the nodes that its prefixes lack."""
+        n = self.terminal.get(word)
+        if n is None:
+            n = self._walk(MARK + word)
+            if len(word) <= DEPTH:
+                self.terminal[word] = n
+        return n
+
+    def _walk(self, word: str) -> int:
         child, node, path = self.child, 0, [0]
         for c in word[:DEPTH]:
             node = child.get(node << 21 | ord(c), -1)
@@ -109,7 +118,7 @@ class Trie:
 
 def counts_of(words: list[str], trie: Trie) -> list[int]:
     """Tokens of each pre-token (without mark; none for an empty one)."""
-    return [trie.count(MARK + w) if w else 0 for w in words]
+    return [trie.count(w) if w else 0 for w in words]
 
 
 def counted(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
