@@ -52,7 +52,7 @@ FEW = 20
 FLOOR = 0.1
 #: Equal samples of the 48 that a pair needs for its texts to be compared.
 AGREE = 27
-SALT_ROWS = 256
+SALT_ROWS = 64
 QUERY_BLOCK = 256
 MEMBER_BLOCK = 256
 U = np.uint64
