@@ -188,10 +188,11 @@ def crossed_features(spark, sf_dir) -> DataFrame:
 _BLEND = {"even": 0.5, "leaning": 0.6}
 
 
-@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"round({_P} * {w} + {_N} * (1 - {w}), 6) as {n}" for n, w in _BLEND.items()) + " from s")
+@query(f"with s as ({_SCORED_SQL}) select {FIRST}, {OTHER}, " + ", ".join(f"floor(({_P} * {w} + {_N} * (1 - {w})) * 1e6 + 3e-5)::bigint as {n}" for n, w in _BLEND.items()) + " from s")
 def blended_scores(spark, sf_dir) -> DataFrame:
-    """Two scores blended evenly and six to four."""
-    return _scored(spark, sf_dir).select(FIRST, OTHER, *[F.round(gates.blend(_P, _N, w), 6).alias(n) for n, w in _BLEND.items()])
+    """Two scores blended evenly and six to four, in millionths."""
+    s = _scored(spark, sf_dir).withColumn(_N, F.round(F.col(_N), 9))
+    return s.select(FIRST, OTHER, *[F.floor(gates.blend(_P, _N, w) * 1e6 + 3e-5).cast("long").alias(n) for n, w in _BLEND.items()])
 
 
 @query(f"""with s as (select * from ({_SCORED_SQL}) where {_P} >= 0.92), k as (select *, count(*) over (partition by {FIRST}) as n from s)
