@@ -81,6 +81,28 @@ def test_cap_drops_whole_entity_and_counts_join_rows(spark):
     assert rows(blocking.pairs(e, blocking.Channel("n", (channels.name,), cap=3)).select(FIRST).distinct()) == [("S1-1",), ("S1-2",)]
 
 
+def _work(df):
+    """Rows of the result; most rows that a join of its plan made and that an exchange moved."""
+    out, joined, moved, todo = df.collect(), 0, 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        counted = lambda k: node.metrics().apply(k).value() if node.metrics().contains(k) else 0  # noqa: E731, B023
+        joined = max(joined, counted("numOutputRows") if "Join" in kind else 0)
+        moved = max(moved, counted("shuffleRecordsWritten"))
+    return sorted(map(tuple, out), key=str), joined, moved
+
+
+def test_shared_keys_of_many_equal_names_are_counted_before_pairs_are_made(spark):
+    e = _entities(spark, [*[(f"S1-{k}", "maple house") for k in range(100)], *[(f"S2-{k}", "maple house") for k in range(200)], ("S1-900", "aaaaaa x"), ("S1-901", "birches"), ("S3-900", "aaaaax"), ("S3-901", "birchen"), ("S3-902", "obirch")])
+    # the word of equal letters meets one gram twice over; birches shares two grams with birchen and with obirch
+    got, joined, _ = _work(blocking.pairs(e, channels.by_name()["b38_positional_grams"]))
+    assert got == [("S1-900", "S3-900", 6), ("S1-901", "S3-901", 3), ("S1-901", "S3-902", 2)]
+    assert joined < 1_000
+
+
 def test_null_country_and_empty_keys_never_pair(spark):
     e = spark.createDataFrame([("S1-1", "", None, None), ("S2-1", "", None, None), ("S1-2", "x y", "", None), ("S2-2", "x y", "", None)], tables.ENTITY)
     for name in ("r1_name_address", "b10_prefix4", "b61_rare_name_token", "b30_squashed_name4"):

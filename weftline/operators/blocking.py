@@ -7,8 +7,9 @@ rows than that altogether; ``freq23`` / ``freq1`` / ``freq_all`` keep keys by ho
 For a channel whose cap counts join rows, the plan never builds the join that the cap would throw away: join rows per
 source-1 entity are the sum of its keys' counts on the other side, so entities over the cap are dropped before the pair
 join, and the join's output is at most cap rows per entity. Where the cap counts pairs after a test between the sides or
-of shared keys (``residual``, ``min_shared``), key counts cannot tell it and the join is built. The oracle states the
-plain form (join, count over, filter).
+of shared keys (``residual``, ``min_shared``), key counts cannot tell it and the join is built: for shared keys between
+classes of entities that hold the same keys, whose pairs and members give each entity's number of pairs before any pair of
+entities is made. The oracle states the plain form (join, count over, filter).
 """
 
 from __future__ import annotations
@@ -74,6 +75,33 @@ def _keyed(df: DataFrame, ch: Channel, first: bool) -> DataFrame:
     return df.filter("co is not null") if ch.country else df
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """By these columns to an explicit number of tasks: what is joined next is small, but makes many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _classes(df: DataFrame, on: list[str], rep: str) -> tuple[DataFrame, DataFrame]:
+    """(id, ``rep``) of entities, and (``rep``, n, keys) of classes of those with the same rows of keys; ``rep``: the smallest id."""
+    held = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*on))).alias("keys"))
+    classes = held.groupBy("keys").agg(F.min("id").alias(rep), F.count(F.lit(1)).alias("n"))
+    return held.join(classes.select("keys", rep), "keys").select("id", rep), classes
+
+
+def _shared(a: DataFrame, b: DataFrame, on: list[str], least: int, cap: int | None) -> DataFrame:
+    """(source1_entity_id, matched_entity_id, shared) of entities with at least ``least`` join rows, capped: classes of
+    equal keys are joined, an entity's pairs counted by the members of the classes met, and only what is kept is expanded."""
+    ids_a, classes_a = _classes(a, on, "ra")
+    ids_b, classes_b = _classes(b, on, "rb")
+    x = _dealt(classes_a.select("ra", F.inline("keys")), *on)
+    y = _dealt(classes_b.select("rb", F.col("n").alias("nb"), F.inline("keys")), *on)
+    met = x.join(y, on).groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("shared"), F.first("nb").alias("nb")).filter(F.col("shared") >= least)
+    if cap is not None:
+        met = met.groupBy("ra").agg(F.sum("nb").alias("fan"), F.collect_list(F.struct("rb", "shared")).alias("to")).filter(F.col("fan") <= cap)
+        met = met.select("ra", F.inline("to"))
+    out = met.join(ids_a.withColumnRenamed("id", FIRST), "ra").join(ids_b.withColumnRenamed("id", OTHER), "rb")
+    return out.select(FIRST, OTHER, "shared")
+
+
 def _kept_keys(ch: Channel, a: DataFrame, b: DataFrame) -> DataFrame | None:
     names = [f"k{i}" for i in range(len(ch.keys))]
     by = (["co"] if ch.freq_country else []) + names
@@ -105,6 +133,8 @@ def pairs(entities: DataFrame, ch: Channel, matched: DataFrame | None = None) ->
         fan = b.groupBy(*on).agg(F.count(F.lit(1)).alias("fan"))
         low = a.join(fan, on).groupBy("id").agg(F.sum("fan").alias("fan")).filter(F.col("fan") <= ch.cap).select("id")
         a = a.join(low, "id", "left_semi")
+    if ch.min_shared is not None and not ch.residual:
+        return _with_probability(_shared(a, b, on, ch.min_shared, ch.cap), ch)
     left = a.select(F.col("id").alias(FIRST), *on, *[F.col(c).alias(f"a_{c}") for c in carried])
     right = b.select(F.col("id").alias(OTHER), *on, *[F.col(c).alias(f"b_{c}") for c in carried])
     out = left.join(right, on)
@@ -116,7 +146,10 @@ def pairs(entities: DataFrame, ch: Channel, matched: DataFrame | None = None) ->
     if ch.cap is not None and (ch.min_shared is not None or ch.residual):
         low = out.groupBy(FIRST).count().filter(F.col("count") <= ch.cap).select(FIRST)
         out = out.join(low, FIRST, "left_semi")
-    out = out.distinct()
+    return _with_probability(out.distinct(), ch)
+
+
+def _with_probability(out: DataFrame, ch: Channel) -> DataFrame:
     if ch.prob_by_shared:
         least = ch.prob_by_shared[-1][1]
         cases = " ".join(f"when shared >= {n} then {p}d" for n, p in ch.prob_by_shared)
