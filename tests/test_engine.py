@@ -103,6 +103,21 @@ def test_shared_keys_of_many_equal_names_are_counted_before_pairs_are_made(spark
     assert joined < 1_000
 
 
+def test_union_moves_no_pairs_of_equal_names(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "CROSSED", 1_000, raising=False)
+    c = channels.by_name()
+    names = [n for n in c if n[:4] in {f"b{i:02d}_" for i in range(1, 10)}]
+    e = _entities(spark, [*[(f"S1-{k}", "maple house") for k in range(100)], *[(f"S2-{k}", "maple house") for k in range(200)], ("S1-900", "maple yard"), ("S3-900", "stone yard"), ("S3-901", "stone road"), ("S1-901", ""), ("S3-902", ""),
+                            ("S1-902", "iron gate"), ("S1-902", "iron door"), ("S3-903", "iron gate"), ("S3-903", "iron door"), ("S3-903", "iron gate")])
+    want = {p for n in names for p in rows(blocking.pairs(e, c[n]).select(FIRST, OTHER))}
+    from weftline.plans import evaluation
+
+    monkeypatch.setattr(evaluation.tables, "entities", lambda *a: e)
+    got, _, moved = _work(evaluation.union_of_blocks(spark, ""))
+    assert got == sorted(want, key=str) and len(got) > 20_000 and ("S1-902", "S3-903") in got
+    assert moved < 5_000
+
+
 def test_null_country_and_empty_keys_never_pair(spark):
     e = spark.createDataFrame([("S1-1", "", None, None), ("S2-1", "", None, None), ("S1-2", "x y", "", None), ("S2-2", "x y", "", None)], tables.ENTITY)
     for name in ("r1_name_address", "b10_prefix4", "b61_rare_name_token", "b30_squashed_name4"):

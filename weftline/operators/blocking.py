@@ -14,13 +14,13 @@ entities is made. The oracle states the plain form (join, count over, filter).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import derive
-from ..functions.dialect import X
+from ..functions.dialect import X, same
 
 FIRST, OTHER = "source1_entity_id", "matched_entity_id"
 
@@ -80,6 +80,40 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: A channel whose keys are held by more rows than this on both sides may make very many pairs of one key.
+FEW = 1_000
+#: Rows that one task of a crossing makes, about.
+CROSSED = 1 << 20
+
+
+def crossed(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """``a`` joined with ``b`` on ``on``. A key of very many pairs is dealt to several tasks: b's rows by a hash, a's to each."""
+    counts = a.groupBy(*on).agg(F.count(F.lit(1)).alias("_na")).join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("_nb")), on)
+    hot = counts.filter(F.col("_na") * F.col("_nb") > CROSSED)
+    hot = hot.select(*on, F.least(F.col("_nb"), F.ceil(F.col("_na") * F.col("_nb") / CROSSED)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    a = a.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    own = F.xxhash64(*[c for c in b.columns if c not in on])
+    b = b.join(hot, on, "left").withColumn("_part", F.pmod(own, parts).cast("int")).drop("_parts")
+    by = [*on, "_part"]
+    return _dealt(a, *by).join(_dealt(b, *by), by).drop("_part")
+
+
+def _once(df: DataFrame, on: list[str], also: list[str]) -> DataFrame:
+    """(id, ``also``, ks, ``on``): each id's distinct keys; ks: all of them, if there are several."""
+    held = df.groupBy("id", *also).agg(F.collect_set(F.struct(*on)).alias("ks"))
+    return held.select("id", *also, F.when(F.size("ks") > 1, F.col("ks")).alias("ks"), F.inline("ks"))
+
+
+def _crossed_once(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct (source1_entity_id, matched_entity_id) of entities that share a key: a pair comes from the smallest key
+    that both have, so that no pair is moved to be compared with others."""
+    left, right = (_once(x, on, []).withColumnsRenamed({"id": i, "ks": k}) for x, i, k in ((a, FIRST, "ka"), (b, OTHER, "kb")))
+    least = F.array_min(F.array_intersect("ka", "kb"))
+    out = crossed(left, right, on)
+    return out.filter(F.col("ka").isNull() | F.col("kb").isNull() | (F.struct(*on) == least)).select(FIRST, OTHER)
+
+
 def _classes(df: DataFrame, on: list[str], rep: str) -> tuple[DataFrame, DataFrame]:
     """(id, ``rep``) of entities, and (``rep``, n, keys) of classes of those with the same rows of keys; ``rep``: the smallest id."""
     held = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*on))).alias("keys"))
@@ -133,6 +167,8 @@ def pairs(entities: DataFrame, ch: Channel, matched: DataFrame | None = None) ->
         fan = b.groupBy(*on).agg(F.count(F.lit(1)).alias("fan"))
         low = a.join(fan, on).groupBy("id").agg(F.sum("fan").alias("fan")).filter(F.col("fan") <= ch.cap).select("id")
         a = a.join(low, "id", "left_semi")
+    if ch.cap is None and ch.min_shared is None and not ch.residual and not any(f and f[1] <= FEW for f in (ch.freq23, ch.freq1, ch.freq_all)):
+        return _with_probability(_crossed_once(a, b, on), ch)
     if ch.min_shared is not None and not ch.residual:
         return _with_probability(_shared(a, b, on, ch.min_shared, ch.cap), ch)
     left = a.select(F.col("id").alias(FIRST), *on, *[F.col(c).alias(f"a_{c}") for c in carried])
@@ -157,6 +193,21 @@ def _with_probability(out: DataFrame, ch: Channel) -> DataFrame:
     return out.withColumn("probability", F.lit(ch.prob)) if ch.prob is not None else out
 
 
+def union(entities: DataFrame, whole: Channel, rest: list[Channel]) -> DataFrame:
+    """Distinct pairs of a channel on exact names (one key, all countries) and of uncapped others. Pairs of entities with a
+    name in common are those of ``whole``; the others give the rest, so that only those are compared with each other. The
+    entities are cached, lest each side of each channel read them anew."""
+    named = derive.with_columns(entities, ("name",)).withColumn("name", F.nullif("name", F.lit("")))
+    own = F.collect_set("name").over(Window.partitionBy("entity_id"))  # one name but where an id is repeated
+    cached = named.withColumn("own_names", own).drop("name").cache()
+    out = None
+    for ch in rest:
+        apart = replace(ch, carry=(("names", same("own_names")),), residual="not arrays_overlap(a_c_names, b_c_names)")
+        rows = pairs(cached, apart).select(FIRST, OTHER)
+        out = rows if out is None else out.unionByName(rows)
+    return pairs(cached, whole).select(FIRST, OTHER).unionByName(out.distinct())
+
+
 def volume(entities: DataFrame, ch: Channel) -> DataFrame:
     """Join rows a channel would make, from key counts alone."""
     first = F.col("entity_id").startswith("S1-")

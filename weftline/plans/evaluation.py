@@ -133,7 +133,7 @@ _BLOCKS = [n for n in c.CH if any(n.startswith(p) for p in _UNION)]
 @query(" union ".join(f"select {FIRST}, {OTHER} from ({blocking.oracle(c.CH[n], c.DOCS)})" for n in _BLOCKS))
 def union_of_blocks(spark, sf_dir):
     e = tables.entities(spark, sf_dir)
-    return sets.union_distinct([blocking.pairs(e, c.CH[n]).select(FIRST, OTHER) for n in _BLOCKS])
+    return blocking.union(e, c.CH[_BLOCKS[0]], [c.CH[n] for n in _BLOCKS[1:]])
 
 
 #: Frequency blocks that a later generation adds to the first nine.
