@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import derive, features, normalize, similarity
-from weftline.operators import blocking, channels, evaluate, gates, resolve, sampling, sets
+from weftline.operators import blocking, channels, evaluate, gates, resolve, sampling, sets, tfidf
 from weftline.sources import sinks, tables
 
 FIRST, OTHER = "source1_entity_id", "matched_entity_id"
@@ -253,3 +253,25 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tfidf_pairs_meet_as_classes(spark, monkeypatch):
+    """Copies, repeated ids, ids in two countries and rows without id or country give the SQL's pairs; what leaves a cell
+    is pairs of classes over the limit, not meetings on grams."""
+    monkeypatch.setattr(tfidf, "CELL", (40, 80))  # several cells
+    words = ["harbor", "harbour", "lantern", "lanterns", "meadow", "orchard", "timber", "valley"]
+    made = [(f"S{i % 3 + 1}-{i}", "xy"[i % 7 == 0], " ".join(words[(i * k + i // 5) % 8] for k in (1, 3, 5))) for i in range(60)]
+    made += [(f"S{i % 3 + 1}-{i}", "x", "timber valley orchard") for i in range(100, 130)]
+    made += [("S1-0", "y", "meadow lantern"), ("S2-1", "x", "harbor valley"), ("S2-1", "y", "meadow lantern"), ("S2-1", "y", "meadow lantern"), (None, "x", "harbor timber"), (None, "x", "harbor timber"), ("S2-900", None, "meadow lantern"), ("S2-901", "x", "abc")]
+    df = spark.createDataFrame(made, "entity_id string, country string, name string")
+    got = rows(tfidf.similar(df).withColumn("cosine", F.round("cosine", 6)))
+    con = duckdb.connect()
+    con.execute("create table e (entity_id varchar, country varchar, name varchar)")
+    con.executemany("insert into e values (?, ?, ?)", made)
+    assert got == sorted(con.execute(tfidf.duck("select * from e")).fetchall(), key=str) and len(got) > 200
+
+    import pyarrow as pa
+
+    cell = pa.RecordBatch.from_pylist([{"first": k < 2, "c": bytes([k]), "keys": g, "w": [1.0] * len(g)} for k, g in enumerate((["a", "b"], ["c", "d", "e"], ["a", "b"], ["b", "f"], ["c", "d", "e", "f"]))])
+    out = pa.Table.from_batches(tfidf._met(iter([cell]), 0.75)).to_pylist()
+    assert [(r["c1"], r["c2"], round(r["cosine"], 6)) for r in out] == [(b"\0", b"\2", 1.0), (b"\1", b"\4", 0.866025)]
