@@ -480,6 +480,37 @@ def test_rates_meet_targets(spark):
         assert np.allclose((r * n) @ p, list(got)) and r.min() >= 0
 
 
+def test_rates_do_not_run_away_where_a_domain_is_nearly_absent(spark):
+    rng = np.random.RandomState(3)
+    low, toxic = np.minimum(rng.lognormal(-9, 2, 3000), 0.01), np.minimum(rng.lognormal(-7, 2, 3000), 0.3)
+    n = rng.randint(20, 900, 3000).astype(float)
+    p = np.stack([low, 1 - low - toxic, toxic], 1)
+    rows = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(n, p)], "_n double, _p0 double, _p1 double, _p2 double").cache()
+    steps, targets, expected = mixing.fit(rows)
+    off = lambda s: np.linalg.norm((s - targets) / targets)
+    assert off(expected) < off(n @ p) and expected.sum() < 2 * targets.sum()
+    r = np.ones(3000)
+    for s in steps:
+        r = np.maximum(0, r - p @ s)
+    assert np.allclose((r * n) @ p, expected)
+    # neither code nor plan grows with the steps
+    depth = lambda k: str(rows.select(mixing.rate_of([np.ones(3)] * k))._jdf.queryExecution().analyzed().treeString()).count("greatest")
+    assert depth(40) == depth(2)
+
+
+def test_mixing_stage_lists_every_copy(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wanted = [1, 2, mixing.RUN - 1, mixing.RUN, mixing.RUN + 1, 3 * mixing.RUN + 7, 0]
+    inner = docs.filter(F.col("doc_id") < len(wanted))
+
+    def given(plain, model, doc_id, text, keep, targets, shares):
+        return plain.withColumn("_copies", F.get(F.array(*map(F.lit, wanted)), F.col(doc_id).cast("int"))), {}
+
+    monkeypatch.setattr(mixing, "_mixed", given)
+    copies = Counter(r["doc_id"] for r in mixing.stage(spark, inner, sf_dir).select("doc_id").collect())
+    assert [copies[i] for i in range(len(wanted))] == wanted
+
+
 def _plain_buckets(text):
     """Distinct buckets of a text, by the public hash."""
     import regex

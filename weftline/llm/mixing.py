@@ -4,7 +4,11 @@ A multinomial logistic model learned from the labelled table gives each document
 quality, ``clean``, ``toxic``). Nonnegative document rates r are then fitted so that the expected domain totals
 s_k = sum_d r_d n_d p_dk meet the targets T_k: projected gradient on the whitened least squares
 || M^(1/2) (s - T) ||^2, from r = 1, each step r <- max(0, r - p_d . M (s - T)) with M = (sum n_d p_d p_d^T)^-1 over the
-documents whose rate is not 0. The whitening makes 1 the right step length. A document's rate is a function of its posterior and of the steps so far, so no
+documents whose rate is not 0. The whitening makes 1 the right step length where the targets can be met. Where a domain
+has next to no mass they cannot, and such steps may run away (a hundred times the tokens and more). So if ``PLAIN`` of
+them, or all, have led further from the targets than r = 1 is, the fit starts again with damped steps, of which only
+those count that lower the miss, the norm of (s_k - T_k) / T_k over k. No total then exceeds its target by more than the
+start misses, and rates have no cap. A document's rate is a function of its posterior and of the steps so far, so no
 per-document state is kept: each iteration is one aggregate over the narrow posterior table, and the driver holds K
 sums and a K x K matrix.
 
@@ -19,10 +23,10 @@ hashes, each distinct text of an id once); posteriors, totals and rates cover al
 fixed-point numbers and enter the plan as one array literal per domain, exactly.
 
 Defined results: null and empty texts have no tokens and the posterior of an empty text; very long texts are read whole;
-labels with a null are ignored; with no labels every document is half ``clean``; a target that cannot be met (no mass in
-a domain) leaves the least-squares residual; equal posteriors get equal rates; an empty table gives an empty result.
-Repeated rows are documents each, with as many copies each. Extra columns pass through whatever their names, but where
-one is named like a result of ``mixed``, the result stands.
+labels with a null are ignored; with no labels every document is half ``clean``; a target that cannot be met (little or
+no mass in a domain) leaves what the fit above could not lower; equal posteriors get equal rates; an empty table gives
+an empty result. Repeated rows are documents each, with as many copies each. Extra columns pass through whatever their
+names, but where one is named like a result of ``mixed``, the result stands.
 """
 
 from __future__ import annotations
@@ -47,6 +51,14 @@ FIXED = 1024
 #: Summed word weights are divided by this power of the number of distinct words.
 DAMP = 0.25
 ROUNDS = 40
+#: Undamped steps after which a fit that has run away starts again with damped ones.
+PLAIN = 12
+#: Least damping, and that at which no step lowers the miss any more, as shares of the Gram matrix' trace at the start.
+DAMPING = (1e-6, 1e3)
+#: A damped step that lowers the miss by a smaller part than this is the last.
+STILL = 1e-3
+#: Copies of a document that are listed at once.
+RUN = 1024
 TOLERANCE = 1e-5
 #: Rates this close to a whole number count as it.
 SNAP = 1e-3
@@ -173,12 +185,17 @@ def memberships(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def rate_of(steps: list[np.ndarray]) -> Column:
-    """A document's rate after these steps, from its posteriors."""
-    rate = F.lit(1.0)
-    for step in steps:
-        dot = sum((F.col(f"_p{k}") * float(v) for k, v in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - dot)
-    return rate
+    """A document's rate after these steps, from its posteriors. The steps are one array literal, so that neither the
+    plan nor the generated code grows or changes with them."""
+    if not steps:
+        return F.lit(1.0)
+    found = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
+
+    def after(rate: Column, step: Column) -> Column:
+        dot = sum((p * F.get(step, F.lit(k)) for k, p in enumerate(_posteriors())), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - dot)
+
+    return F.aggregate(found, F.lit(1.0), after)
 
 
 def _posteriors() -> list[Column]:
@@ -192,23 +209,60 @@ def fit(members: DataFrame, targets: np.ndarray | None = None, shares: dict | No
 
     def measured(rate: Column) -> tuple[np.ndarray, np.ndarray]:
         """Expected domain totals, and the Gram matrix of the documents that still have a rate."""
+        rated, rate = members.select("_n", *p, rate.alias("_r")), F.col("_r")
         live = F.when(rate > 0, n).otherwise(0.0)
-        row = members.agg(*[F.sum(rate * n * p[i]) for i in k], *[F.sum(live * p[i] * p[j]) for i in k for j in k]).first()
+        row = rated.agg(*[F.sum(rate * n * p[i]) for i in k], *[F.sum(live * p[i] * p[j]) for i in k for j in k]).first()
         x = np.array([float(v or 0) for v in row])
         return x[: len(DOMAINS)], x[len(DOMAINS) :].reshape(len(DOMAINS), -1)
 
-    total, gram = measured(F.lit(1.0))
+    first = measured(F.lit(1.0))
     if targets is None:
         share = np.array([(shares or SHARES)[d] for d in DOMAINS])
-        targets = share / share[1] * total[1]
+        targets = share / share[1] * first[0][1]
+    steps, total = descend(first, lambda found: measured(rate_of(found)), targets, rounds)
+    return steps, targets, total
+
+
+def descend(first: tuple[np.ndarray, np.ndarray], measure, targets: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps towards the targets and the totals after them. ``measure`` gives the totals and the Gram matrix after some
+    steps, ``first`` is its result for none."""
+    most = max(targets.max(), 1e-12)
+    scale = np.maximum(targets, CLOSE * most)
+
+    def met(total: np.ndarray) -> bool:
+        return np.abs(total - targets).max() <= TOLERANCE * most
+
+    def miss(total: np.ndarray) -> float:
+        return float(np.linalg.norm((total - targets) / scale))
+
     steps: list[np.ndarray] = []
+    total, gram = first
+    for i in range(rounds):
+        if met(total) or i == PLAIN and miss(total) > miss(first[0]):
+            break
+        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (total - targets))
+        total, gram = measure(steps)
+    if met(total) or miss(total) <= miss(first[0]):
+        return steps, total
+    (total, gram), steps = first, []
+    square = np.outer(scale, scale)
+    unit = np.trace(gram / square) * np.eye(len(targets))
+    damping, failed = DAMPING[0], False
     for _ in range(rounds):
-        gap = total - targets
-        if np.abs(gap).max() <= TOLERANCE * max(targets.max(), 1e-12):
+        if met(total) or damping > DAMPING[1]:
             break
-        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap)
-        total, gram = measured(rate_of(steps))
-    return steps, targets, total
+        step = np.linalg.solve(gram / square + damping * unit, (total - targets) / scale) / scale
+        after = measure([*steps, step])
+        if miss(after[0]) < miss(total):
+            last = miss(after[0]) > (1 - STILL) * miss(total)
+            steps, (total, gram) = [*steps, step], after
+            if last:
+                break
+            # damping that was just found needed is kept for one more step
+            damping, failed = damping if failed else max(damping / 10, DAMPING[0]), False
+        else:
+            damping, failed = damping * 10, True
+    return steps, total
 
 
 def copies_of(rate: Column, shift: Column) -> Column:
@@ -261,8 +315,8 @@ def _mixed(inner: DataFrame, model: dict, doc_id: str, text: str, keep: list[str
     steps, targets, expected = fit(members, targets, shares)
     if np.abs(expected - targets).max() > CLOSE * max(targets.max(), 1e-12):
         _log.warning("targets %s not met: expected totals are %s after %d steps", targets.round(), expected.round(), len(steps))
-    rate = rate_of(steps)
-    rate = F.when(F.abs(rate - F.round(rate)) <= SNAP, F.round(rate)).otherwise(rate)
+    members, raw = members.withColumn("_raw", rate_of(steps)), F.col("_raw")
+    rate = F.when(F.abs(raw - F.round(raw)) <= SNAP, F.round(raw)).otherwise(raw)
     shifts, realised = rounded(members, rate, targets)
     out = members.withColumn("_rate", rate).withColumn("_copies", copies_of(F.col("_rate"), _shift(shifts)))
     return out.select(*keep, *RESULTS), {"targets": targets, "expected": expected, "realised": realised, "shifts": shifts}
@@ -291,7 +345,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(_base.read(spark, sf_dir, "documents"), _base.read(spark, sf_dir, "labels"))
     inner, at = _base.plain(docs)
     out, _ = _mixed(inner, model, at["doc_id"], at["text"], inner.columns, None, None)
-    out = out.filter("_copies > 0").withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    # in runs, so that no list grows with a document's copies
+    out = out.filter("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / RUN).cast("int"))))
+    out = out.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(RUN), F.col("_copies") - RUN * F.col("_i")))))
     return out.select(*inner.columns).toDF(*docs.columns)
 
 
